@@ -23,6 +23,12 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairgraph.llm.near_dup import NearDup, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), params=NearDup(words=4))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairgraph.llm.secret_scan import scan_secrets
 
