@@ -36,5 +36,36 @@ FROM placed
 """
 
 
+OP5 = r"""
+WITH pg AS (
+  SELECT page_id, url, DATE '2024-01-01' + (page_id * 37 % 700)::INT AS fetched,
+    regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS host,
+    coalesce(nullif(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path
+  FROM pages),
+hosts AS (SELECT host, ('0x' || substr(md5(host), 1, 6))::INT AS n FROM (SELECT DISTINCT host FROM pg WHERE host <> '')),
+urls AS (SELECT u, ('0x' || substr(md5(u), 1, 6))::INT AS n FROM (SELECT DISTINCT host || path AS u FROM pg WHERE host <> '')),
+entries AS (
+  SELECT 'spam' AS list, 'host:' || host AS key, 'add' AS action, DATE '2024-01-01' + n % 400 AS since FROM hosts WHERE n % 3 = 0
+  UNION ALL SELECT 'spam', 'host:' || host, 'remove', DATE '2024-01-01' + (n % 400 + 90) FROM hosts WHERE n % 6 = 0
+  UNION ALL SELECT 'spam', 'host:' || host, 'add', DATE '2024-01-01' + (n % 400 + 150) FROM hosts WHERE n % 12 = 0
+  UNION ALL SELECT 'adult', 'prefix:' || host || '/en/', 'add', DATE '2024-01-01' + n % 300 FROM hosts WHERE n % 5 = 1
+  UNION ALL SELECT 'allow', 'prefix:' || host || '/', 'add', DATE '2024-01-01' + n % 500 FROM hosts WHERE n % 7 = 2
+  UNION ALL SELECT 'adult', 'url:' || u, 'add', DATE '2024-01-01' + n % 600 FROM urls WHERE n % 10 = 0),
+spans AS (SELECT *, coalesce(lead(since) OVER (PARTITION BY list, key ORDER BY since), DATE '9999-12-31') AS until FROM entries),
+keyed AS (
+  SELECT page_id, fetched, unnest(list_distinct(
+      list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'host:' || array_to_string(string_split(host, '.')[i:], '.'))
+      || list_transform(range(1, len(string_split(path, '/'))), lambda i: 'prefix:' || host || array_to_string(string_split(path, '/')[1:i], '/') || '/')
+      || ['url:' || host || path])) AS key
+  FROM pg WHERE host <> ''),
+hits AS (
+  SELECT page_id, string_agg(list || '=' || k.key, ',' ORDER BY list || '=' || k.key) AS hits,
+    bool_or(list IN ('spam', 'adult')) AS blocked, bool_or(list = 'allow') AS allowed
+  FROM keyed k JOIN spans s ON k.key = s.key AND s.action = 'add' AND s.since <= k.fetched AND k.fetched < s.until GROUP BY page_id)
+SELECT pg.page_id, host, fetched, coalesce(hits, '') AS hits, coalesce(NOT blocked OR allowed, true) AS kept
+FROM pg LEFT JOIN hits USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": OP3}
+    return {"op3_source_mixing": OP3, "op5_url_filter": OP5}

@@ -35,6 +35,43 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), params=NearDup(words=4))
 
 
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries made up from the hosts and URLs that occur, as the tables hold no list."""
+    from pairgraph.llm.url_filter import host_of, path_of
+
+    def number(key):
+        return F.conv(F.substring(F.md5(key.cast("binary")), 1, 6), 16, 10).cast("int")
+
+    def entry(rows, where, name, kind, value, action, days):
+        day = F.date_add(F.lit("2024-01-01").cast("date"), F.expr(days))
+        return rows.where(where).select(
+            F.lit(name).alias("list"), F.lit(kind).alias("kind"), F.expr(value).alias("value"), F.lit(action).alias("action"), day.alias("since")
+        )
+
+    at = pages.where("url IS NOT NULL").select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
+    hosts = at.select("host").distinct().withColumn("n", number(F.col("host")))
+    urls = at.select(F.concat("host", "path").alias("url")).distinct().withColumn("n", number(F.col("url")))
+    out = entry(hosts, "n % 3 = 0", "spam", "host", "host", "add", "n % 400")
+    for more in (
+        entry(hosts, "n % 6 = 0", "spam", "host", "host", "remove", "n % 400 + 90"),
+        entry(hosts, "n % 12 = 0", "spam", "host", "host", "add", "n % 400 + 150"),
+        entry(hosts, "n % 5 = 1", "adult", "prefix", "concat(host, '/en/')", "add", "n % 300"),
+        entry(hosts, "n % 7 = 2", "allow", "prefix", "concat(host, '/')", "add", "n % 500"),
+        entry(urls, "n % 10 = 0", "adult", "url", "url", "add", "n % 600"),
+    ):
+        out = out.unionByName(more)
+    return out
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages has no fetch time, so a day is made up from the id."""
+    from pairgraph.llm.url_filter import filter_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 700).cast("int"))
+    return filter_urls(pages.withColumn("fetched", day), list_entries(pages))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairgraph.llm.secret_scan import scan_secrets
 
