@@ -78,6 +78,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("secrets")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairgraph.llm.html_extract import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairgraph.llm.substring_dedup import cut_spans
 
