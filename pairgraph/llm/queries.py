@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from pairgraph.llm.common import table
 
 
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairgraph.llm.importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairgraph.llm.decontaminate import find_leaks
 
