@@ -70,11 +70,12 @@ def mix_sources(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Per document how many words the mix takes of it.
 
     Columns: the id, source, size, source_size, target, epochs (whole passes over the source), sample_key and
-    taken. Words are counted with repeats; the document on which a source's target falls gives its first
+    taken, and before them the columns of docs named in carry. Words are counted with repeats; the document on which a source's target falls gives its first
     words only, so each source gives round(target) words. Null sources are one source; null or empty texts
     have size 0 and give 0; equal rows are mixed one by one; an empty table gives no rows. Extra columns are
     ignored. Keys depend on the id and the seed alone, so reruns agree.
@@ -86,6 +87,7 @@ def mix_sources(
             F.col(source_col).alias("source"),
             n_words_of(text).alias("size"),
             (-F.log(unit_interval(F.col(id_col), seed)) / quality_weight(text)).alias("sample_key"),
+            F.struct(F.lit(0), *[F.col(f"`{c}`") for c in carry]).alias("carried"),
         ),
         "mix-rows",
     )
@@ -121,8 +123,9 @@ def mix_sources(
         placed.withColumn("epochs", epochs.cast("long"))
         .withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - first)))
         .select(
+            *[F.col("carried")[c].alias(c) for c in carry],
             F.col("id").alias(id_col),
-            "source",
+            F.col("source").alias(source_col),
             "size",
             "source_size",
             "target",
