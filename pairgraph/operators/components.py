@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every round replaces edges by stars towards the smallest neighbour, first over larger neighbours and then over
-smaller ones, until nothing changes; the edges are then (node, smallest node reachable). Rounds grow with the
+smaller ones, until no node is both an end and a centre; the edges are then (node, smallest node reachable). Rounds grow with the
 logarithm of a component's size, and no node's neighbours are ever gathered: minima are partial aggregates, and
 the joins that spread them read written tables on both sides, so that a hub's rows can be split.
 """
@@ -25,9 +25,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .distinct(),
         "cc-edges",
     )
-    mark = _mark(now)
     for _ in range(max_rounds):
-        if not mark[0]:
+        if _settled(now):
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-low")
@@ -35,19 +34,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large"
         )
         lower = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
-        small = large.join(lower.where("m IS NOT NULL"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
-        mark, was = _mark(after), mark
         discard(now, lowest, large, lower)
         now = after
-        if mark == was:
-            break
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return r[0], int(r[1] or 0)
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node points to one centre and no centre points on."""
+    centres = edges.select(F.col("v").alias("u")).distinct()
+    ends = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    return ends.join(centres.withColumn("centre", F.lit(True)), "u", "left").where("n > 1 OR centre").isEmpty()
