@@ -5,17 +5,17 @@ short keys, of r minhashes each, and the m * m tables take as key a pair of one
 functions serve m * m tables of 2 * r minhashes. Two sets of similarity s meet in a table with probability
 (1 - (1 - s^r)^m)^2: with r = 3 and m = 16 it is 0.99998 at s = 0.8 and above 0.9999999 at s = 0.9.
 
-Equal sets are one node. Within a bucket nodes are compared with a leader instead of with each other; what
-links merges, and a few rounds with other leaders go on where a bucket still holds several components. What
-is left then is settled exactly by prefix filtering: of two sets over the threshold the rarest shingles of
-both must meet, so only such pairs are compared, and a passage that thousands of documents share isn't rare.
+Equal sets are one node. Within a bucket nodes are compared with two leaders instead of with each other: the
+one that meets most others in all tables, which stands in the middle of a group of edited copies, and the one of
+the smallest id. What links merges. Buckets that still hold several components are settled exactly by prefix
+filtering: of two sets over the threshold the rarest shingles of both must meet, early enough in either for the
+rest to make up the overlap, so only such pairs are compared; a passage that thousands share isn't rare.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,6 @@ class NearDup:
     collection: int = 16
     band: int = 3
     seed: int = 1
-    rounds: int = 3
 
 
 def _sketcher(p: NearDup):
@@ -134,27 +133,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
     nodes = known.join(reps, ["d0", "d1"]).where("id = rep").select("id", "n", "keys")
 
-    links = [materialize(ties, "nd-links")]
     tables = _tables(nodes, p)
     wanted = tables.select("id").distinct()
     sets = materialize(
         narrow.join(wanted, "id").mapInArrow(_setter(p.words), f"id {id_type}, shingles binary"), "nd-sets"
     )
-    labels = None
-    for turn in range(p.rounds):
-        pairs, open_ = _star_pairs(tables, labels, turn, p)
-        found = materialize(_confirmed(pairs, sets, id_type, p), "nd-links")
-        links.append(found)
-        if labels is not None:
-            discard(labels)
-        labels = materialize(connected_components(_all(links)), "nd-labels")
-        discard(open_)
-        if turn and found.isEmpty():
-            break
-    rest = _rest_pairs(tables, labels, sets, p)
-    links.append(materialize(_confirmed(rest, sets, id_type, p), "nd-links"))
-    if not links[-1].isEmpty():
-        labels = materialize(connected_components(_all(links)), "nd-labels")
+    links = _confirmed(_star_pairs(tables, p), sets, id_type, p).unionByName(ties)
+    labels = materialize(connected_components(links), "nd-labels")
+    more = materialize(_confirmed(_rest_pairs(tables, labels, sets, p), sets, id_type, p), "nd-links")
+    if not more.isEmpty():
+        stars = labels.select(F.col("id").alias("src"), F.col("component").alias("dst"))
+        labels = materialize(connected_components(stars.unionByName(more)), "nd-labels")
     discard(tables, sets)
 
     of_set = sketch.join(reps, ["d0", "d1"], "left")
@@ -175,94 +164,88 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
 
 
-def _all(links: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, links)
-
-
 def _tables(nodes: DataFrame, p: NearDup) -> DataFrame:
-    """(key, id, n): the entries of all tables that hold two nodes or more.
+    """(key, id, n, leaders): the entries of all tables that hold two nodes or more, with their bucket's leaders.
 
     A node can meet another one in table (i, j) only if it meets one in key i of the first collection and in
-    key j of the second, so pairs are formed of such keys only.
+    key j of the second, so pairs are formed of such keys only. leaders: array of structs (id, n).
     """
     each = nodes.select("id", "n", F.posexplode("keys").alias("no", "h"))
-    shared = materialize(each.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("h"), "nd-shared")
+    shared = materialize(
+        each.groupBy("h")
+        .agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("size"))
+        .where("a <> b")
+        .select("h", "size"),
+        "nd-shared",
+    )
     first = F.col("no") < p.collection
     halves = (
         each.join(shared, "h")
         .groupBy("id", "n")
-        .agg(F.collect_set(F.when(first, F.col("h"))).alias("one"), F.collect_set(F.when(~first, F.col("h"))).alias("two"))
-    )
-    keys = halves.select("id", "n", F.explode("one").alias("x"), "two").select("id", "n", "x", F.explode("two").alias("y"))
-    keys = keys.select(F.xxhash64("x", "y").alias("key"), "id", "n")
-    full = materialize(keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key"), "nd-full")
-    out = materialize(keys.join(full, "key"), "nd-tables")
-    discard(shared, full)
-    return out
-
-
-def _labelled(tables: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return tables.withColumn("component", F.col("id"))
-    return tables.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
-def _star_pairs(tables: DataFrame, labels: DataFrame | None, turn: int, p: NearDup) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a bucket's leader and its members of other components, and the table of leaders."""
-    placed = _labelled(tables, labels)
-    order = F.xxhash64("id", F.lit(turn)) if turn else F.lit(0)
-    leaders = materialize(
-        placed.groupBy("key")
         .agg(
-            F.min(F.struct(order.alias("o"), "id", "n", "component")).alias("lead"),
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
+            F.collect_set(F.when(first, F.col("h"))).alias("one"),
+            F.collect_set(F.when(~first, F.col("h"))).alias("two"),
+            F.sum("size").alias("met"),
         )
-        .where("low <> high")
-        .select("key", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.component").alias("lead_component")),
+    )
+    halves = materialize(halves.where("size(one) > 0 AND size(two) > 0"), "nd-halves")
+    keys = halves.select("id", "n", "met", F.explode("one").alias("x"), "two").select("id", "n", "met", "x", F.explode("two").alias("y"))
+    keys = keys.select(F.xxhash64("x", "y").alias("key"), "id", "n", "met")
+    leaders = materialize(
+        keys.groupBy("key")
+        .agg(F.min(F.struct("id", "n")).alias("low"), F.max(F.struct("met", "id", "n")).alias("mid"), F.max("id").alias("high"))
+        .where("low.id <> high")
+        .select("key", F.array("low", F.struct("mid.id", "mid.n")).alias("leaders")),
         "nd-leaders",
     )
-    pairs = (
-        placed.join(leaders, "key")
-        .where("component <> lead_component")
-        .where(f"100 * least(n, lead_n) >= {p.percent} * greatest(n, lead_n)")
-        .select(F.least("id", "lead").alias("src"), F.greatest("id", "lead").alias("dst"))
+    out = materialize(keys.drop("met").join(leaders, "key"), "nd-tables")
+    discard(shared, halves, leaders)
+    return out
+
+
+def _star_pairs(tables: DataFrame, p: NearDup) -> DataFrame:
+    """Each member of a bucket with its leaders, if the sizes allow a link."""
+    return (
+        tables.select("id", "n", F.explode("leaders").alias("lead"))
+        .where(f"id <> lead.id AND 100 * least(n, lead.n) >= {p.percent} * greatest(n, lead.n)")
+        .select(F.least("id", "lead.id").alias("src"), F.greatest("id", "lead.id").alias("dst"))
         .distinct()
     )
-    return pairs, leaders
 
 
 def _rest_pairs(tables: DataFrame, labels: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     """All pairs over the threshold that may be left among nodes of buckets with several components.
 
-    Shingles are ranked by how many of these nodes have them, rarest first. If 100 * common >= percent * all,
-    then common >= percent/100 of the larger set, so each set's first n - ceil(n * percent / 100) + 1 shingles
-    hold one of the other's. Shingles that no other node has make no pairs.
+    Shingles are ranked by how many of these nodes have them, rarest first. Two sets over the threshold have
+    at least o = percent * (n + n') / (100 + percent) shingles in common, so the first one of these stands
+    before place n - o + 1 in either set; that place is n - ceil(n * percent / 100) + 1 at most, as sizes differ.
+    Shingles that no other node has make no pairs.
     """
-    placed = _labelled(tables, labels)
+    id_type = sets.schema["id"].dataType.simpleString()
+    placed = tables.select("key", "id", "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_ = materialize(open_, "nd-open")
-    unsettled = materialize(placed.join(open_, "key").select("id", "n", "component").distinct(), "nd-unsettled")
-    discard(open_)
-    tokens = (
-        unsettled.join(sets, "id")
-        .mapInArrow(_tokens, f"id {unsettled.schema['id'].dataType.simpleString()}, n bigint, component {unsettled.schema['component'].dataType.simpleString()}, token bigint")
+    unsettled = placed.join(open_, "key").select("id", "n", "component").distinct()
+    tokens = materialize(
+        unsettled.join(sets, "id").mapInArrow(_tokens, f"id {id_type}, n bigint, component {id_type}, token bigint"), "nd-tokens"
     )
     counts = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "nd-counts")
     ranked = tokens.join(counts, "token", "left")
     prefix = (
         ranked.groupBy("id", "n", "component")
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("t"))
-        .select("id", "n", "component", F.explode(F.expr(f"slice(t, 1, cast(n - ceil(n * {p.percent} / 100.0) + 1 as int))")).alias("t"))
+        .select("id", "n", "component", F.posexplode(F.expr(f"slice(t, 1, cast(n - ceil(n * {p.percent} / 100.0) + 1 as int))")).alias("at", "t"))
         .where("t.df > 1")
-        .select(F.col("t.token").alias("token"), "id", "n", "component")
+        .select(F.col("t.token").alias("token"), "id", "n", "component", "at")
     )
     prefix = materialize(prefix, "nd-prefix")
-    a, b = prefix, prefix.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component")])
+    discard(open_, tokens, counts)
+    b = prefix.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component", "at")])
+    need = f"{p.percent} * (n + n_b)"
     return (
-        a.join(b, "token")
+        prefix.join(b, "token")
         .where("id < id_b AND component <> component_b")
-        .where(f"100 * least(n, n_b) >= {p.percent} * greatest(n, n_b)")
+        .where(f"{100 + p.percent} * (n - at) >= {need} AND {100 + p.percent} * (n_b - at_b) >= {need}")
         .select(F.col("id").alias("src"), F.col("id_b").alias("dst"))
         .distinct()
     )

@@ -85,7 +85,7 @@ def test_exact_stage_finds_what_few_tables_miss(spark):
         for _ in range(rng.choice([1, 3, 5])):
             t[rng.randrange(100)] = f"x{i}"
         rows.append((i, " ".join(t)))
-    check(spark, rows, rounds=1)
+    check(spark, rows, collection=2, band=2)
 
 
 def test_edge_cases(spark):
