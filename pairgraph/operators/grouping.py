@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pairgraph.operators.components import connected_components
 from pairgraph.plans.config import GroupingConfig
+from pairgraph.plans.store import materialize
 
 
 def singletons(names: DataFrame) -> DataFrame:
@@ -92,11 +93,12 @@ def constrained_groups(names: DataFrame, decisions: DataFrame, config: GroupingC
     """
     if "quality" not in names.columns:
         names = names.withColumn("quality", F.lit(0.0))
+    decisions = materialize(decisions.select("left", "right", "state", F.col("score").cast("double").alias("score")), "decisions")
     strong = decisions.where("state = 'strong_positive'").select("left", "right")
     comp = connected_components(strong, "left", "right").withColumnsRenamed({"id": "name", "component": "comp"})
     l, r = comp.withColumnsRenamed({"name": "left", "comp": "comp_l"}), comp.withColumnsRenamed({"name": "right", "comp": "comp_r"})
     inside = decisions.where("state <> 'unknown'").join(l, "left").join(r, "right").where("comp_l = comp_r")
-    inside = inside.select(F.col("comp_l").alias("comp"), "left", "right", "state", F.col("score").cast("double").alias("score"))
+    inside = inside.select(F.col("comp_l").alias("comp"), "left", "right", "state", "score")
     members = names.join(comp, F.col("filename") == F.col("name"))
     members = members.select("comp", F.col("filename").alias("left"), F.lit(None).cast("string").alias("right"), F.lit(None).cast("string").alias("state"), F.col("quality").cast("double").alias("score"))
 
