@@ -77,41 +77,61 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, p: Toxicity) -> Model:
-    """rows: sorted features of each text; labels: 0 or 1. Classes weigh alike. Without both classes all score 0.5 or as the one."""
+    """rows: sorted features of each text (the list is emptied); labels: 0 or 1. Classes weigh alike.
+
+    Without rows all texts score 0.5; with one class only, all score as that class.
+    """
     n, size = len(rows), 1 << p.bits
     y = labels.astype(np.float64)
     toxic = y.sum()
     if not n or toxic in (0, n):
         return Model(np.zeros(size, np.float32), 0.0 if not n else (2.0 if toxic else -2.0))
+    seen = np.zeros(size, np.int32)
+    for r in rows:
+        seen[r] += 1  # a row's features are distinct
+    common = seen >= p.least_rows
+    rows[:] = [r[common[r]].astype(np.int32, copy=False) for r in rows]
     lengths = np.array([len(r) for r in rows])
-    index = np.concatenate(rows).astype(np.int32)
-    common = np.bincount(index, minlength=size) >= p.least_rows
-    kept = common[index]
-    lengths = np.array([int(x.sum()) for x in np.split(kept, np.cumsum(lengths)[:-1])])
-    index = index[kept]
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    index = np.concatenate(rows)
+    rows.clear()
+    blocks = _row_blocks(lengths)
     # naive Bayes ratios of presence, one added to each count
-    in_toxic = np.bincount(index, weights=np.repeat(y, lengths), minlength=size)
-    in_rest = np.bincount(index, minlength=size) - in_toxic
+    in_toxic = np.zeros(size)
+    for i, j in blocks:
+        in_toxic += np.bincount(index[starts[i] : starts[j]], weights=np.repeat(y[i:j], lengths[i:j]), minlength=size)
+    in_rest = seen - in_toxic
     ratio = np.where(common, np.log((in_toxic + 1) / (toxic + 2)) - np.log((in_rest + 1) / (n - toxic + 2)), 0.0)
     weigh = np.where(y == 1, n / (2 * toxic), n / (2 * (n - toxic))) / n
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    full = np.flatnonzero(lengths)
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, p.rounds + 1):  # gradient descent with moments
-        z = np.full(n, b)
-        if len(full):
-            z[full] += np.add.reduceat((w * ratio)[index], starts[full])
-        error = weigh * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = ratio * np.bincount(index, weights=np.repeat(error, lengths), minlength=size) + p.penalty * w
+        scaled, g, g_bias = w * ratio, np.zeros(size), 0.0
+        for i, j in blocks:
+            part = index[starts[i] : starts[j]]
+            z = np.full(j - i, b)
+            full = np.flatnonzero(lengths[i:j])
+            if len(full):
+                z[full] += np.add.reduceat(scaled[part], starts[i:j][full] - starts[i])
+            error = weigh[i:j] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j])
+            g += np.bincount(part, weights=np.repeat(error, lengths[i:j]), minlength=size)
+            g_bias += float(error.sum())
+        g = ratio * g + p.penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * error.sum(), 0.99 * vb + 0.01 * error.sum() ** 2
+        mb, vb = 0.9 * mb + 0.1 * g_bias, 0.99 * vb + 0.01 * g_bias**2
         first, second = 1 - 0.9**step, 1 - 0.99**step
         w = w - p.rate * (m / first) / (np.sqrt(v / second) + 1e-8)
         b = b - p.rate * (mb / first) / (np.sqrt(vb / second) + 1e-8)
     return Model((w * ratio).astype(np.float32), float(b))
 
 
+def _row_blocks(lengths: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of rows of about so many features each, so that fitting needs little more memory than its sample."""
+    place = np.cumsum(lengths) // most
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(lengths)]])
+    return [(int(i), int(j)) for i, j in zip(edges[:-1], edges[1:], strict=True) if i < j]
+
+
 def fold_of(key: Column, folds: int = 3) -> Column:
     """crc32 of the key as text, modulo folds; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % folds
@@ -133,10 +153,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
             made = [make(t).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["y", "features"])
 
-    found = sample.orderBy(*order, "text").limit(p.fit_rows).select("y", "text").mapInArrow(featurize, "y int, features binary").collect()
-    rows = [np.frombuffer(r["features"], np.int32) for r in found]
-    rows, y = _in_order(rows, np.array([r["y"] for r in found], np.int64))
-    return fit(rows, y, p)
+    found = sample.orderBy(*order, "text").limit(p.fit_rows).select("y", "text").mapInArrow(featurize, "y int, features binary")
+    rows, y = [], []
+    for label, features in found.toLocalIterator():  # at most fit_rows rows
+        rows.append(np.frombuffer(features, np.int32))
+        y.append(label)
+    rows, labels_ = _in_order(rows, np.array(y, np.int64))
+    return fit(rows, labels_, p)
 
 
 def _in_order(rows: list[np.ndarray], y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
