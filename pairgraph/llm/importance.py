@@ -112,7 +112,8 @@ def resample(
     if share is None:
         good, known = named.agg(F.sum((F.col("y") == 1).cast("long")), F.count(F.lit(1))).first()
         share = (good or 0) / known if known else 1.0
-    wanted = named.where("y = 1").select("id", F.lit(True).alias("target"))
+    # the labels grow with the documents, so they are joined alike at every size and never sent whole
+    wanted = named.where("y = 1").select("id", F.lit(True).alias("target")).hint("merge")
     ratios = log_ratios(*count_ngrams(narrow.join(wanted, "id", "left"), p), p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
