@@ -25,6 +25,8 @@ def discover_images(spark: SparkSession, folder: str, *, recursive: bool = False
         files = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     name = basename(F.col("path"))
     found = files.withColumn("filename", name).where(has_suffix(F.col("filename"), SUFFIXES))
+    if not recursive:  # listing goes into subfolders that the pattern names
+        found = found.where(F.regexp_extract("path", "^(.*)/[^/]*$", 1) == _qualified(spark, folder))
     cols = ["filename", "path", "length"]
     if content:
         found = found.withColumn("content_hash", content_hash(F.col("content")))
@@ -32,6 +34,11 @@ def discover_images(spark: SparkSession, folder: str, *, recursive: bool = False
     return found.select(*cols)
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _empty_folder(spark: SparkSession, folder: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
