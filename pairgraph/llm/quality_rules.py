@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairgraph.llm.common import WORD, text_of, words_of
+from pairgraph.plans.store import materialize
 
 RULES = ("length", "symbols", "word_length", "line_repeats", "word_repeats", "capitals")
 SYMBOLS = r"[#*$%&|<>]"
@@ -178,7 +179,7 @@ def score_quality(
     and returned as they came; an empty table gives no rows; extra columns are ignored.
     """
     features = docs.select(F.col(id_col).alias("id"), base_features(text_of(text_col)).alias("f"))
-    voted = _voted(features)
+    voted = materialize(_voted(features), "quality-votes")  # texts are read once
     model = fit_rules(_counts(voted), rounds=rounds)
     return _decided(docs.sparkSession, voted, model, threshold).select(
         F.col("id").alias(id_col),
@@ -194,7 +195,7 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5
     """The rows of docs that are kept, with their own columns only."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     features = held.withColumn("f", base_features(text_of(F.col("row")[text_col])))
-    voted = _voted(features)
+    voted = materialize(_voted(features), "quality-votes")  # features are worked out once
     model = fit_rules(_counts(voted), rounds=rounds)
     return _decided(docs.sparkSession, voted, model, threshold).where("kept").select("row.*")
 
