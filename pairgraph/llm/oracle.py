@@ -67,5 +67,81 @@ FROM pg LEFT JOIN hits USING (page_id)
 """
 
 
+WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
+
+
+def em_sql(rounds: int = 20, n_rules: int = 6) -> str:
+    """CTEs m0 .. m<rounds>: a model row each, from the table patterns (v1 .. v6, n)."""
+    rules = range(1, n_rules + 1)
+    out = ["m0 AS (SELECT 0.8::DOUBLE AS prior, " + ", ".join(f"0.8::DOUBLE AS a{j}" for j in rules) + ")"]
+    for k in range(rounds):
+        shares = ", ".join(
+            f"greatest(0.5::DOUBLE, (sum(CASE WHEN v{j} > 0 THEN n * p WHEN v{j} < 0 THEN n * (1 - p) ELSE 0 END) + 8.0::DOUBLE) / (sum(CASE WHEN v{j} <> 0 THEN n ELSE 0 END) + 10)) AS a{j}"
+            for j in rules
+        )
+        out.append(
+            f"m{k + 1} AS MATERIALIZED (SELECT (coalesce(sum(n * p), 0) + 8.0::DOUBLE) / (coalesce(sum(n), 0) + 10) AS prior, {shares} FROM (SELECT patterns.*, {posterior_sql(n_rules)} AS p FROM patterns, m{k}))"
+        )
+    return ",\n".join(out)
+
+
+def posterior_sql(n_rules: int = 6) -> str:
+    side = lambda up, down: " + ".join(f"CASE WHEN v{j} > 0 THEN ln({up.format(j=j)}) WHEN v{j} < 0 THEN ln({down.format(j=j)}) ELSE 0 END" for j in range(1, n_rules + 1))
+    good, bad = side("a{j}", "1 - a{j}"), side("1 - a{j}", "a{j}")
+    return f"1 / (1 + exp(least(700.0, (ln(1 - prior) + {bad}) - (ln(prior) + {good}))))"
+
+
+OP2 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT k, doc_id, t, {WORDS.format(t="t")} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+win AS (SELECT k, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT k, count(DISTINCT i + s)::BIGINT AS n FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM win), range(0, 3) o(s) WHERE c > 1 GROUP BY k),
+f AS (SELECT w.k, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+  len(l)::BIGINT AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals FROM w LEFT JOIN rep USING (k)),
+v AS (SELECT *, CASE WHEN n_words < 50 THEN -1 WHEN n_words >= 80 THEN 1 ELSE 0 END AS v1,
+  CASE WHEN n_symbols * 10 > n_words THEN -1 WHEN n_symbols * 50 <= n_words THEN 1 ELSE 0 END AS v2,
+  CASE WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN -1 WHEN word_chars >= 3 * n_words AND word_chars <= 8 * n_words THEN 1 ELSE 0 END AS v3,
+  CASE WHEN n_dup_lines * 10 > 3 * n_lines THEN -1 WHEN n_dup_lines * 10 <= n_lines THEN 1 ELSE 0 END AS v4,
+  CASE WHEN n_repeat_words * 10 > 3 * n_words THEN -1 WHEN n_repeat_words * 10 <= n_words THEN 1 ELSE 0 END AS v5,
+  CASE WHEN n_capitals * 10 > 3 * word_chars THEN -1 WHEN n_capitals * 10 <= word_chars THEN 1 ELSE 0 END AS v6 FROM f),
+patterns AS MATERIALIZED (SELECT v1, v2, v3, v4, v5, v6, count(*) AS n FROM v GROUP BY ALL),
+{em_sql()},
+p AS (SELECT v.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {posterior_sql()} AS p FROM v, m20)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS posterior,
+  v1 AS vote_length, v2 AS vote_symbols, v3 AS vote_word_length, v4 AS vote_line_repeats, v5 AS vote_word_repeats, v6 AS vote_capitals FROM p
+"""
+
+OP4 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(t="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+e AS MATERIALIZED (SELECT l, r FROM (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL) x
+  JOIN n p ON p.doc_id = l JOIN n q ON q.doc_id = r WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach(src, dst) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.src, e.r FROM reach JOIN e ON reach.dst = e.l),
+c AS (SELECT src AS doc_id, min(dst) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""
+
+
+def op6_sql() -> str:
+    """Spans from the lengths of matches and of the pieces between them, rule by rule."""
+    from pairgraph.llm.secret_scan import BASE_RULES, MORE_RULES
+
+    parts = []
+    for no, rule in enumerate(BASE_RULES + MORE_RULES):
+        re = rule.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {no} AS no, '{rule.name}' AS kind, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0))::INT AS a, length(m[i]) AS n
+  FROM (SELECT doc_id, m, gaps, parts, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{re}') AS m, string_split_regex(t, '{re}') AS gaps, regexp_extract_all(t, '{re}', {rule.group}) AS parts FROM d)) WHERE length(parts[i]) >= {rule.least}""")
+    spans = " UNION ALL ".join(parts)
+    line = "string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, no)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({spans}),
+g AS (SELECT doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex, {line} FILTER (no < 3) AS base, {line} AS spans FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": OP3, "op5_url_filter": OP5}
+    return {"op2_quality_rules": OP2, "op3_source_mixing": OP3, "op4_near_duplicates": OP4, "op5_url_filter": OP5, "op6_secret_scan": op6_sql()}
