@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairgraph.llm.common import keep_batches_small
 from pairgraph.plans.store import materialize
 
 #: ASCII punctuation separates words like white space does.
@@ -213,6 +214,7 @@ def find_leaks(
     are reported one by one; null ids are carried; an empty table on either side gives no rows; extra columns
     are ignored.
     """
+    keep_batches_small(docs.sparkSession)
     spark = docs.sparkSession
     p = params
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairgraph.llm import shingles as sh
-from pairgraph.llm.common import unit_interval
+from pairgraph.llm.common import keep_batches_small, unit_interval
 from pairgraph.plans.store import materialize
 
 
@@ -105,6 +105,7 @@ def resample(
     and is never a target; ties at the k-th key go by id; equal rows have equal keys and are sampled one by one.
     Without target rows all weights are 0. An empty table gives no rows; extra columns are ignored.
     """
+    keep_batches_small(docs.sparkSession)
     p = params
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))

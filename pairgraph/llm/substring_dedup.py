@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairgraph.plans.store import discard, materialize
+from pairgraph.llm.common import keep_batches_small
+from pairgraph.plans.store import materialize
 
 _TABLE = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _SENTENCE = re.compile(r"[^\s].*?(?:[.!?…。]+(?=\s)|$)", re.M)
@@ -73,6 +74,7 @@ def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     offset are the same occurrence. Null ids rank before all others. Null and empty texts have no units; an
     empty table gives no rows; extra columns are ignored.
     """
+    keep_batches_small(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = narrow.schema["id"].dataType.simpleString()
     cut = narrow.mapInArrow(_cutter(units), f"id {id_type}, start int, end int, words int, digest binary")
