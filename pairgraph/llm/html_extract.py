@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairgraph.llm.common import keep_batches_small
+
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     """
@@ -90,7 +92,7 @@ class Block:
     text: str
     heading: bool
     links: float
-    hint: int  # 1: in an article element, -1: in boilerplate, 0: neither
+    hint: int  # 2: in an article element, 1: in main, -1: in boilerplate, 0: in none of them
     content: bool  # in an element named as content
     label: int = field(default=0)
 
@@ -146,10 +148,12 @@ def blocks_of(page: str) -> list[Block]:
         hint, content = state()
         bad, good = _hints(attrs)
         if hint != -1:
-            if name in OUTSIDE or bad or name == "header" and hint != 1:
+            if name in OUTSIDE or bad or name == "header" and hint < 1:
                 hint = -1
-            elif name in ("article", "main") or good and re.search(r"\barticleBody\b", attrs):
-                hint = 1
+            elif name == "article" or good and re.search(r"\barticleBody\b", attrs):
+                hint = 2
+            elif name == "main":
+                hint = max(hint, 1)
         stack.append((name, hint, content or good))
 
     def close(name: str) -> None:
@@ -215,13 +219,15 @@ def _end_item(stack: list[tuple[str, int, bool]]) -> None:
 
 def classify(blocks: list[Block], rules: BlockRules = BlockRules()) -> list[Block]:
     """The same blocks with labels 1 (article) or -1."""
-    article = any(b.hint == 1 for b in blocks)
-    content = not article and any(b.content and b.hint == 0 for b in blocks)
+    article = max((b.hint for b in blocks), default=0)
+    content = article < 1 and any(b.content and b.hint == 0 for b in blocks)
     for b in blocks:  # first pass
-        if b.hint:
-            b.label = b.hint
-        elif article or content and not b.content:
+        if b.hint < 0:
             b.label = -1
+        elif article > 0 and b.hint == article:
+            b.label = 1
+        elif article > 0 or content and not b.content:
+            b.label = 0 if b.heading else -1  # a title may stand before the article
         elif b.links > rules.links or "©" in b.text:
             b.label = -1
         elif content:
@@ -271,6 +277,7 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     equal rows come back one by one, an empty table gives no rows, and extra columns are ignored. Pages are
     read a few at a time, so long ones need the memory of one.
     """
+    keep_batches_small(pages.sparkSession)
     narrow = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

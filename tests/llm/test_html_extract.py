@@ -29,6 +29,12 @@ def test_named_content():
     assert h.main_text(page) == "###\nANY !! TEXT"
 
 
+def test_titles_and_main():
+    page = "<h2>Site</h2><nav>x</nav><main><h1>Title</h1><article><p>a</p></article><h3>Comments</h3><div class='user-comments'><p>b</p></div><p>teaser</p></main>"
+    assert h.main_text(page) == "Title\na"
+    assert h.main_text("<div>x</div><main><p>a</p><aside>b</aside><p>c</p></main>") == "a\nc"
+
+
 def test_broken_and_empty_pages():
     assert h.main_text(None) == h.main_text("") == h.main_text("<html></html>") == ""
     assert h.main_text("<article><p>open <b>tags") == "open tags"
