@@ -324,3 +324,20 @@ def test_descriptor_evidence(spark):
     assert out["b"]["mutual_matches"] == 16 and out["b"]["inliers"] == 16 and out["b"]["scale"] == pytest.approx(1.0)
     assert out["b"]["translation_fraction"] == pytest.approx((2 * (2 / 64) ** 2) ** 0.5) and out["b"]["grid_coverage_left"] == 1.0
     assert out["c"]["mutual_matches"] < 8
+
+
+def test_variants_and_packaging(tmp_path):
+    from pairgraph.sources import packaging
+
+    for name in config.VARIANTS:
+        assert config.variant(name).name == name
+    shipped = config.shipped_config().parameters
+    three = config.variant("group-three-edge-consensus").parameters
+    assert all(three[k] == shipped[k] for k in three)
+    a = packaging.write_zip({"b": b"1", "a": b"2"}, tmp_path / "a.zip").read_bytes()
+    assert a == packaging.write_zip({"a": b"2", "b": b"1"}, tmp_path / "b.zip").read_bytes()
+    text = "# note\nimage: repo/name:1\ncontact: <address>\nmachine_type: large # x\n"
+    assert packaging.check_manifest(text, ("large",))["image"] == "repo/name:1"
+    for bad in (text + "image: x\n", text.replace("large", "tiny"), text.replace("<address>", "nobody"), text + "more: 1\n"):
+        with pytest.raises(ValueError):
+            packaging.check_manifest(bad, ("large",))
