@@ -70,24 +70,23 @@ FROM pg LEFT JOIN hits USING (page_id)
 WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
 
 
-def em_sql(rounds: int = 20, n_rules: int = 6) -> str:
-    """CTEs m0 .. m<rounds>: a model row each, from the table patterns (v1 .. v6, n)."""
+def em_sql(rounds: int = 20, n_rules: int = 7) -> str:
+    """CTEs m0 .. m<rounds>: a model row each, from the table patterns (v1 .. v7, n)."""
     rules = range(1, n_rules + 1)
-    out = ["m0 AS (SELECT 0.8::DOUBLE AS prior, " + ", ".join(f"0.8::DOUBLE AS a{j}" for j in rules) + ")"]
+    out = ["m0 AS (SELECT 0.8::DOUBLE AS prior, " + ", ".join(f"0.95::DOUBLE AS g{j}, 0.5::DOUBLE AS b{j}" for j in rules) + ")"]
     for k in range(rounds):
-        shares = ", ".join(
-            f"greatest(0.5::DOUBLE, (sum(CASE WHEN v{j} > 0 THEN n * p WHEN v{j} < 0 THEN n * (1 - p) ELSE 0 END) + 8.0::DOUBLE) / (sum(CASE WHEN v{j} <> 0 THEN n ELSE 0 END) + 10)) AS a{j}"
-            for j in rules
-        )
+        bad = lambda j: f"((coalesce(sum(CASE WHEN v{j} < 0 THEN n * (1 - p) END), 0) + 5.0::DOUBLE) / (coalesce(sum(CASE WHEN v{j} <> 0 THEN n * (1 - p) END), 0) + 10))"
+        good = lambda j: f"((coalesce(sum(CASE WHEN v{j} > 0 THEN n * p END), 0) + 9.5::DOUBLE) / (coalesce(sum(CASE WHEN v{j} <> 0 THEN n * p END), 0) + 10))"
+        shares = ", ".join(f"greatest(1 - {bad(j)}, {good(j)}) AS g{j}, {bad(j)} AS b{j}" for j in rules)
         out.append(
             f"m{k + 1} AS MATERIALIZED (SELECT (coalesce(sum(n * p), 0) + 8.0::DOUBLE) / (coalesce(sum(n), 0) + 10) AS prior, {shares} FROM (SELECT patterns.*, {posterior_sql(n_rules)} AS p FROM patterns, m{k}))"
         )
     return ",\n".join(out)
 
 
-def posterior_sql(n_rules: int = 6) -> str:
+def posterior_sql(n_rules: int = 7) -> str:
     side = lambda up, down: " + ".join(f"CASE WHEN v{j} > 0 THEN ln({up.format(j=j)}) WHEN v{j} < 0 THEN ln({down.format(j=j)}) ELSE 0 END" for j in range(1, n_rules + 1))
-    good, bad = side("a{j}", "1 - a{j}"), side("1 - a{j}", "a{j}")
+    good, bad = side("g{j}", "1 - g{j}"), side("1 - b{j}", "b{j}")
     return f"1 / (1 + exp(least(700.0, (ln(1 - prior) + {bad}) - (ln(prior) + {good}))))"
 
 
@@ -101,15 +100,16 @@ f AS (SELECT w.k, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_tran
   len(l)::BIGINT AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals FROM w LEFT JOIN rep USING (k)),
 v AS (SELECT *, CASE WHEN n_words < 50 THEN -1 WHEN n_words >= 80 THEN 1 ELSE 0 END AS v1,
   CASE WHEN n_symbols * 10 > n_words THEN -1 WHEN n_symbols * 50 <= n_words THEN 1 ELSE 0 END AS v2,
-  CASE WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN -1 WHEN word_chars >= 3 * n_words AND word_chars <= 8 * n_words THEN 1 ELSE 0 END AS v3,
-  CASE WHEN n_dup_lines * 10 > 3 * n_lines THEN -1 WHEN n_dup_lines * 10 <= n_lines THEN 1 ELSE 0 END AS v4,
-  CASE WHEN n_repeat_words * 10 > 3 * n_words THEN -1 WHEN n_repeat_words * 10 <= n_words THEN 1 ELSE 0 END AS v5,
-  CASE WHEN n_capitals * 10 > 3 * word_chars THEN -1 WHEN n_capitals * 10 <= word_chars THEN 1 ELSE 0 END AS v6 FROM f),
-patterns AS MATERIALIZED (SELECT v1, v2, v3, v4, v5, v6, count(*) AS n FROM v GROUP BY ALL),
+  CASE WHEN n_symbols * 25 > word_chars THEN -1 WHEN n_symbols * 200 <= word_chars THEN 1 ELSE 0 END AS v3,
+  CASE WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN -1 ELSE 0 END AS v4,
+  CASE WHEN n_dup_lines * 10 > 3 * n_lines THEN -1 ELSE 0 END AS v5,
+  CASE WHEN n_repeat_words * 10 > 3 * n_words THEN -1 ELSE 0 END AS v6,
+  CASE WHEN n_capitals * 10 > 3 * word_chars THEN -1 ELSE 0 END AS v7 FROM f),
+patterns AS MATERIALIZED (SELECT v1, v2, v3, v4, v5, v6, v7, count(*) AS n FROM v WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) GROUP BY ALL),
 {em_sql()},
 p AS (SELECT v.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {posterior_sql()} AS p FROM v, m20)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS posterior,
-  v1 AS vote_length, v2 AS vote_symbols, v3 AS vote_word_length, v4 AS vote_line_repeats, v5 AS vote_word_repeats, v6 AS vote_capitals FROM p
+  v1 AS vote_length, v2 AS vote_symbols, v3 AS vote_symbol_share, v4 AS vote_word_length, v5 AS vote_line_repeats, v6 AS vote_word_repeats, v7 AS vote_capitals FROM p
 """
 
 OP4 = f"""

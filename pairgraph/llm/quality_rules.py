@@ -1,8 +1,9 @@
 """Weak supervision of text quality: rules vote or abstain, EM weighs them, a posterior decides.
 
-Six rules vote good (1), bad (-1) or abstain (0) on each document. Expectation-maximisation over the counts of
-vote patterns estimates how accurate each rule is and how common good documents are; a document stays if its
-posterior probability of being good reaches a threshold. Patterns are at most 3^6 however many documents there
+Seven rules vote good (1), bad (-1) or abstain (0) on each document; those that know defects only never vote good.
+Expectation-maximisation over the counts of vote patterns estimates how accurate each rule's votes are, on good
+and on bad documents, and how common good documents are; a document stays if its posterior probability of being
+good reaches a threshold. A rule that often objects to what others hold good loses its weight. Patterns are at most 3^7 however many documents there
 are, so the estimation reads the corpus once (a grouped count) and works on that small table. Everything runs
 as DataFrame expressions.
 """
@@ -19,23 +20,24 @@ from pyspark.sql import types as T
 from pairgraph.llm.common import WORD, text_of, words_of
 from pairgraph.plans.store import materialize
 
-RULES = ("length", "symbols", "word_length", "line_repeats", "word_repeats", "capitals")
+RULES = ("length", "symbols", "symbol_share", "word_length", "line_repeats", "word_repeats", "capitals")
 SYMBOLS = r"[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
 class RuleModel:
-    """What EM found: the share of good documents and, by rule, the accuracy of a vote."""
+    """What EM found: the share of good documents and, by rule, the share of right votes on good and on bad ones."""
 
     prior: float
-    accuracy: tuple[float, ...]
+    on_good: tuple[float, ...]
+    on_bad: tuple[float, ...]
 
     def posterior(self, votes: tuple[int, ...]) -> float:
         good, bad = math.log(self.prior), math.log(1 - self.prior)
-        for v, a in zip(votes, self.accuracy, strict=True):
+        for v, g, b in zip(votes, self.on_good, self.on_bad, strict=True):
             if v:
-                good += math.log(a if v > 0 else 1 - a)
-                bad += math.log(1 - a if v > 0 else a)
+                good += math.log(g if v > 0 else 1 - g)
+                bad += math.log(1 - b if v > 0 else b)
         return 1 / (1 + math.exp(min(700.0, bad - good)))
 
 
@@ -117,40 +119,52 @@ def _covered(windows: Column) -> Column:
 
 
 def rule_votes(f: Column) -> list[Column]:
-    """The six votes on a struct of base_features(); one bound for good and one for bad each."""
+    """The seven votes on a struct of base_features()."""
 
-    def vote(good: Column, bad: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0).cast("int")
+    def vote(bad: Column, good: Column | None = None) -> Column:
+        out = F.when(bad, -1)
+        return (out if good is None else out.when(good, 1)).otherwise(0).cast("int")
 
     n, lines = f["n_words"], f["n_lines"]
     return [
-        vote(n >= 80, n < 50),
-        vote(f["n_symbols"] * 50 <= n, f["n_symbols"] * 10 > n),
-        vote((f["word_chars"] >= 3 * n) & (f["word_chars"] <= 8 * n), (f["word_chars"] < 2 * n) | (f["word_chars"] > 12 * n)),
-        vote(f["n_dup_lines"] * 10 <= lines, f["n_dup_lines"] * 10 > 3 * lines),
-        vote(f["n_repeat_words"] * 10 <= n, f["n_repeat_words"] * 10 > 3 * n),
-        vote(f["n_capitals"] * 10 <= f["word_chars"], f["n_capitals"] * 10 > 3 * f["word_chars"]),
+        vote(n < 50, n >= 80),
+        vote(f["n_symbols"] * 10 > n, f["n_symbols"] * 50 <= n),
+        vote(f["n_symbols"] * 25 > f["word_chars"], f["n_symbols"] * 200 <= f["word_chars"]),
+        vote((f["word_chars"] < 2 * n) | (f["word_chars"] > 12 * n)),
+        vote(f["n_dup_lines"] * 10 > 3 * lines),
+        vote(f["n_repeat_words"] * 10 > 3 * n),
+        vote(f["n_capitals"] * 10 > 3 * f["word_chars"]),
     ]
 
 
-def fit_rules(patterns: list[tuple[tuple[int, ...], int]], *, rounds: int = 20, prior: float = 0.8, accuracy: float = 0.8) -> RuleModel:
-    """EM over (votes, count). Pseudo-counts of ten keep accuracies off 0 and 1, also in an empty table."""
-    model = RuleModel(prior, (accuracy,) * len(RULES))
+def fit_rules(
+    patterns: list[tuple[tuple[int, ...], int]], *, rounds: int = 20, prior: float = 0.8, on_good: float = 0.95, on_bad: float = 0.5
+) -> RuleModel:
+    """EM over (votes, count), from the shares given.
+
+    Ten documents of the shares given are added throughout, which keeps shares off 0 and 1, also in an empty
+    table. A vote for good never counts against a document: on_good stays at 1 - on_bad at least.
+    """
+    k = len(RULES)
+    model = RuleModel(prior, (on_good,) * k, (on_bad,) * k)
     for _ in range(rounds):
         total = good = 0.0
-        right, cast = [0.0] * len(RULES), [0.0] * len(RULES)
+        right_g, cast_g, right_b, cast_b = ([0.0] * k for _ in range(4))
         for votes, n in patterns:
             p = model.posterior(votes)
             total += n
             good += n * p
             for j, v in enumerate(votes):
                 if v:
-                    cast[j] += n
-                    right[j] += n * (p if v > 0 else 1 - p)
-        model = RuleModel(
-            (good + 10 * prior) / (total + 10),
-            tuple(max(0.5, (r + 10 * accuracy) / (c + 10)) for r, c in zip(right, cast, strict=True)),
-        )
+                    cast_g[j] += n * p
+                    cast_b[j] += n * (1 - p)
+                    if v > 0:
+                        right_g[j] += n * p
+                    else:
+                        right_b[j] += n * (1 - p)
+        bads = tuple((right_b[j] + 10 * on_bad) / (cast_b[j] + 10) for j in range(k))
+        goods = tuple(max(1 - bads[j], (right_g[j] + 10 * on_good) / (cast_g[j] + 10)) for j in range(k))
+        model = RuleModel((good + 10 * prior) / (total + 10), goods, bads)
     return model
 
 
@@ -207,17 +221,20 @@ def _voted(features: DataFrame) -> DataFrame:
 
 
 def _counts(voted: DataFrame) -> list[tuple[tuple[int, ...], int]]:
-    """At most 3^6 rows, in a fixed order."""
-    found = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
+    """At most 3^7 rows, in a fixed order. Documents that the base rules reject say nothing of the others."""
+    found = voted.where(~_base_failed()).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
     return [(_votes_of(r["pattern"]), r["n"]) for r in sorted(found, key=lambda r: r["pattern"])]
 
 
+def _base_failed() -> Column:
+    return (F.col("f")["n_words"] < 50) | (100 * F.col("f")["n_repeat_words"] > 50 * F.col("f")["n_words"])
+
+
 def _decided(spark: SparkSession, voted: DataFrame, model: RuleModel, threshold: float) -> DataFrame:
     posteriors = [float(model.posterior(_votes_of(code))) for code in range(3 ** len(RULES))]
-    base_failed = (F.col("f")["n_words"] < 50) | (100 * F.col("f")["n_repeat_words"] > 50 * F.col("f")["n_words"])
     known = F.element_at(F.lit(posteriors).cast(T.ArrayType(T.DoubleType())), F.col("pattern") + 1)
     return (
         voted.withColumn("posterior", known)
-        .withColumn("base_failed", base_failed)
+        .withColumn("base_failed", _base_failed())
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
     )

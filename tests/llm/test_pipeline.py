@@ -44,15 +44,17 @@ def quality(rows):
         votes = (
             vote(n >= 80, n < 50),
             vote(symbols * 50 <= n, symbols * 10 > n),
-            vote(3 * n <= chars <= 8 * n, chars < 2 * n or chars > 12 * n),
-            vote(dup * 10 <= lines, dup * 10 > 3 * lines),
-            vote(repeat * 10 <= n, repeat * 10 > 3 * n),
-            vote(capitals * 10 <= chars, capitals * 10 > 3 * chars),
+            vote(symbols * 200 <= chars, symbols * 25 > chars),
+            vote(False, chars < 2 * n or chars > 12 * n),
+            vote(False, dup * 10 > 3 * lines),
+            vote(False, repeat * 10 > 3 * n),
+            vote(False, capitals * 10 > 3 * chars),
         )
         voted.append((r, votes, n < 50 or 100 * repeat > 50 * n))
     counts = {}
-    for _, v, _ in voted:
-        counts[v] = counts.get(v, 0) + 1
+    for _, v, failed in voted:
+        if not failed:
+            counts[v] = counts.get(v, 0) + 1
     model = quality_rules.fit_rules(sorted(counts.items()))
     return [r for r, v, failed in voted if not failed and model.posterior(v) >= 0.5]
 
