@@ -81,8 +81,9 @@ def mix_sources(
     ignored. Keys depend on the id and the seed alone, so reruns agree.
     """
     text = text_of(text_col)
-    rows = materialize(
+    table = materialize(
         docs.select(
+            F.monotonically_increasing_id().alias("row_no"),  # settled by the writing
             F.col(id_col).alias("id"),
             F.col(source_col).alias("source"),
             n_words_of(text).alias("size"),
@@ -91,6 +92,7 @@ def mix_sources(
         ),
         "mix-rows",
     )
+    rows = table.drop("carried")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = materialize(source_targets(sizes, cycle=cycle, share=share, cap=cap), "mix-targets")
     t = targets.withColumnRenamed("source", "t_source")
@@ -119,18 +121,22 @@ def mix_sources(
     epochs = F.when(F.col("source_size") > 0, F.expr("CAST(round(target) AS BIGINT) div source_size")).otherwise(F.lit(0))
     rest = whole - F.col("epochs") * F.col("source_size")
     first = F.col("start") + F.col("upto") - F.col("size")
-    return (
+    out = (
         placed.withColumn("epochs", epochs.cast("long"))
         .withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - first)))
-        .select(
-            *[F.col("carried")[c].alias(c) for c in carry],
-            F.col("id").alias(id_col),
-            F.col("source").alias(source_col),
-            "size",
-            "source_size",
-            "target",
-            F.col("taken").cast("long").alias("taken"),
-            "epochs",
-            "sample_key",
-        )
+        .withColumn("taken", F.col("taken").cast("long"))
+    )
+    if carry:  # what is carried meets its row at the end only
+        kept = table.select("row_no", F.struct(*[F.col("carried")[c].alias(c) for c in carry]).alias("carried"))
+        out = out.join(kept, "row_no")
+    return out.select(
+        *[F.col("carried")[c].alias(c) for c in carry],
+        F.col("id").alias(id_col),
+        F.col("source").alias(source_col),
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        "epochs",
+        "sample_key",
     )
