@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairgraph.functions.text import valid_filename
 from pairgraph.operators.components import connected_components
 from pairgraph.operators.decisions import POSITIVE
+from pairgraph.plans.numbering import dense_numbers
 
 
 def violations(partition: DataFrame, expected: DataFrame) -> DataFrame:
@@ -41,10 +42,9 @@ def canonical(partition: DataFrame) -> DataFrame:
 
     Groups are disjoint, so their smallest members alone give that order.
     """
-    first = Window.partitionBy("group_id")
-    heads = partition.withColumn("head", F.min("filename").over(first))
-    numbered = heads.select("head").distinct().withColumn("group_no", F.row_number().over(Window.orderBy("head")) - 1)
-    return heads.join(numbered, "head").select("filename", F.col("group_no").cast("long").alias("group_no"))
+    heads = partition.groupBy("group_id").agg(F.min("filename").alias("head"))
+    numbered = heads.join(dense_numbers(heads, "head", "group_no"), "head").select("group_id", "group_no")
+    return partition.join(numbered, "group_id").select("filename", "group_no")
 
 
 def size_distribution(partition: DataFrame) -> DataFrame:

@@ -341,3 +341,13 @@ def test_variants_and_packaging(tmp_path):
     for bad in (text + "image: x\n", text.replace("large", "tiny"), text.replace("<address>", "nobody"), text + "more: 1\n"):
         with pytest.raises(ValueError):
             packaging.check_manifest(bad, ("large",))
+
+
+def test_dense_numbers(spark):
+    from pairgraph.plans.numbering import dense_numbers
+
+    rng = random.Random(2)
+    values = [f"v{rng.randrange(10**6)}" for _ in range(500)] + ["v1", "v1"]
+    df = spark.createDataFrame([(v,) for v in values], "x string").repartition(6)
+    assert {r["x"]: r["no"] for r in dense_numbers(df, "x").collect()} == {v: i for i, v in enumerate(sorted(set(values)))}
+    assert dense_numbers(df.limit(0), "x").count() == 0
