@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairgraph.llm import shingles as sh
+from pairgraph.llm.common import small_batches
 from pairgraph.operators.components import connected_components
 from pairgraph.plans.store import discard, materialize
 
@@ -115,12 +116,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A row with a null id links with nothing: its component_id is null and it is kept. An empty table gives no
     rows; extra columns are ignored.
     """
-    p = params
+    p, spark = params, docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = narrow.schema["id"].dataType.simpleString()
-    sketch = materialize(
-        narrow.mapInArrow(_sketcher(p), f"id {id_type}, n bigint, d0 bigint, d1 bigint, keys array<bigint>"), "nd-sketch"
-    )
+    with small_batches(spark, 1000):
+        sketch = materialize(
+            narrow.mapInArrow(_sketcher(p), f"id {id_type}, n bigint, d0 bigint, d1 bigint, keys array<bigint>"), "nd-sketch"
+        )
     known = sketch.where("d0 IS NOT NULL AND id IS NOT NULL")
     reps = materialize(known.groupBy("d0", "d1").agg(F.min("id").alias("rep")), "nd-reps")
     # rows that share an id tie their sets together
@@ -135,12 +137,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     tables = _tables(nodes, p)
     wanted = tables.select("id").distinct()
-    sets = materialize(
-        narrow.join(wanted, "id").mapInArrow(_setter(p.words), f"id {id_type}, shingles binary"), "nd-sets"
-    )
-    links = _confirmed(_star_pairs(tables, p), sets, id_type, p).unionByName(ties)
+    with small_batches(spark, 1000):
+        sets = materialize(narrow.join(wanted, "id").mapInArrow(_setter(p.words), f"id {id_type}, shingles binary"), "nd-sets")
+    with small_batches(spark, 32):  # each row holds two whole sets
+        links = materialize(_confirmed(_star_pairs(tables, p), sets, id_type, p).unionByName(ties), "nd-links")
     labels = materialize(connected_components(links), "nd-labels")
-    more = materialize(_confirmed(_rest_pairs(tables, labels, sets, p), sets, id_type, p), "nd-links")
+    with small_batches(spark, 32):
+        more = materialize(_confirmed(_rest_pairs(tables, labels, sets, p), sets, id_type, p), "nd-links")
     if not more.isEmpty():
         stars = labels.select(F.col("id").alias("src"), F.col("component").alias("dst"))
         labels = materialize(connected_components(stars.unionByName(more)), "nd-labels")
