@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairgraph.llm.common import keep_batches_small
+
 _U = np.uint64
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], _U)
 
@@ -148,19 +150,20 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
     chosen = named.join(texts.select("id").distinct(), "id", "left_semi").orderBy(*order).limit(p.fit_rows)
     sample = texts.join(chosen, "id").select("id", "y", "text")
 
-    def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Featurizer(p)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, rows, y = Featurizer(p), [], []
         for batch in batches:
-            made = [make(t).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["y", "features"])
+            y += batch.column(0).to_pylist()
+            rows += [make(t).astype(np.int32) for t in batch.column(1).to_pylist()]
+        model = fit(*_in_order(rows, np.array(y, np.int64)), p)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
 
-    found = sample.orderBy(*order, "text").limit(p.fit_rows).select("y", "text").mapInArrow(featurize, "y int, features binary")
-    rows, y = [], []
-    for label, features in found.toLocalIterator():  # at most fit_rows rows
-        rows.append(np.frombuffer(features, np.int32))
-        y.append(label)
-    rows, labels_ = _in_order(rows, np.array(y, np.int64))
-    return fit(rows, labels_, p)
+    # the sample is bounded, so one task fits it; only the model comes to the driver
+    one = sample.orderBy(*order, "text").limit(p.fit_rows).select("y", "text").coalesce(1)
+    found = one.mapInArrow(fitted, "weights binary, bias double").collect()
+    if not found:
+        return Model(np.zeros(1 << p.bits, np.float32), 0.0)
+    return Model(np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"])
 
 
 def _in_order(rows: list[np.ndarray], y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -185,6 +188,7 @@ def score_toxicity(
     alike; an empty table gives no rows; without labels all score 0.5. Extra columns are ignored.
     """
     p = params
+    keep_batches_small(docs.sparkSession)
     model = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, params=p)
     narrow = docs.select(
         F.col(id_col).alias("id"),
