@@ -19,6 +19,7 @@ from pairgraph.operators import audit, candidates, decisions, evidence, grouping
 from pairgraph.operators.components import connected_components
 from pairgraph.plans import registry, sweep
 from pairgraph.plans.config import StateConfig
+from pairgraph.plans.store import materialize
 
 SMALL_STATES = replace(
     StateConfig(), negative_min_keypoints=16, negative_min_mutual_matches=4, strong_min_inliers=4, positive_min_inliers=4
@@ -78,7 +79,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.unordered(candidates.top_k_neighbours(images(spark, sf_dir), 12))
+    return materialize(candidates.unordered(candidates.top_k_neighbours(images(spark, sf_dir), 12)), "pairs")
 
 
 def local(img: DataFrame, view: str = "raw") -> DataFrame:
