@@ -209,7 +209,7 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5
     """The rows of docs that are kept, with their own columns only."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     features = held.withColumn("f", base_features(text_of(F.col("row")[text_col])))
-    voted = materialize(_voted(features), "quality-votes")  # features are worked out once
+    voted = _voted(features)  # read twice: writing whole texts would cost more disk than this costs time
     model = fit_rules(_counts(voted), rounds=rounds)
     return _decided(docs.sparkSession, voted, model, threshold).where("kept").select("row.*")
 
