@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +47,16 @@ def label_leak(manifest: DataFrame) -> DataFrame:
     )
 
 
-def dataset_fingerprint(files: DataFrame, manifest_hash: str) -> DataFrame:
-    """(fingerprint): digest of the manifest's hash and of every file's, by (hash, name).
+def dataset_fingerprint(files: DataFrame, manifest_hash: str) -> str:
+    """Digest of the manifest's hash and of every file's, by (hash, name).
 
-    The digest of a sequence can't be split, so the sorted lines of one dataset meet in one row.
+    The digest of a sequence can't be split: rows are sorted by all tasks and stream through the driver, which
+    holds a partition at a time.
     """
-    line = F.concat(F.lit("image:"), "filename", F.lit(":"), "content_hash", F.lit("\n"))
-    lines = F.array_sort(F.collect_list(F.struct("content_hash", "filename", line.alias("line"))))
-    joined = F.array_join(F.transform(F.col("lines"), lambda x: x["line"]), "")
-    return files.agg(lines.alias("lines")).select(F.sha2(F.concat(F.lit(f"manifest:{manifest_hash}\n"), joined).cast("binary"), 256).alias("fingerprint"))
+    digest = hashlib.sha256(f"manifest:{manifest_hash}\n".encode())
+    for r in files.select("content_hash", "filename").orderBy("content_hash", "filename").toLocalIterator():
+        digest.update(f"image:{r['filename']}:{r['content_hash']}\n".encode())
+    return digest.hexdigest()
 
 
 def audit(files: DataFrame, manifest: DataFrame) -> dict[str, DataFrame]:

@@ -86,9 +86,11 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(d, DECIMALS)
 
 
-def _against(block: tuple[list[str], np.ndarray], keep, step: int = 512):
-    """A task's rows against the block; keep(distances) says which entries to return."""
+def _against(block: tuple[list[str], np.ndarray], keep, piece_bytes: int = 16 << 20):
+    """A task's rows against the block, so many at once that their distances fill piece_bytes; keep(distances)
+    says which entries to return."""
     names, matrix = block
+    step = max(1, piece_bytes // (8 * len(names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {n: i for i, n in enumerate(names)}

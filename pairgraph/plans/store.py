@@ -2,7 +2,7 @@
 
 The folder is the one that the session names in ``spark.checkpoint.dir``; only where that is unset (tests on
 one machine) does a temporary folder stand in. Files written there outlive a lost executor, unlike blocks of a
-local checkpoint.
+local checkpoint. Tables of one application share a folder; clear() deletes it once their results are stored.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, keep_partitions: bool = False) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back, with its lineage cut.
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/pairgraph/{spark.sparkContext.applicationId}"
 
-    keep_partitions: rows are written as they are dealt; else Spark may merge small partitions beforehand.
-    """
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back, with its lineage cut."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pairgraph/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
@@ -36,11 +37,19 @@ def materialize(df: DataFrame, name: str, keep_partitions: bool = False) -> Data
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing lazy reads it any more."""
     for df in tables:
         path = getattr(df, "_pairgraph_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote; results that were not stored elsewhere go with them."""
+    _delete(spark, _folder(spark))

@@ -269,7 +269,7 @@ def q_exposure_summary(spark, sf_dir):
 
 @query(f"WITH {FILES} SELECT sha256('manifest:' || repeat('0', 64) || chr(10) || string_agg('image:' || filename || ':' || content_hash || chr(10), '' ORDER BY content_hash, filename)) AS fingerprint FROM files")
 def q_dataset_fingerprint(spark, sf_dir):
-    return audit.dataset_fingerprint(files(spark, sf_dir), "0" * 64)
+    return spark.createDataFrame([(audit.dataset_fingerprint(files(spark, sf_dir), "0" * 64),)], "fingerprint string")
 
 
 AUDITS = f"""{FILES}, a AS (SELECT filename, content_hash, group_id FROM files WHERE doc_id % 3 <> 0),

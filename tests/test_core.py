@@ -351,3 +351,14 @@ def test_dense_numbers(spark):
     df = spark.createDataFrame([(v,) for v in values], "x string").repartition(6)
     assert {r["x"]: r["no"] for r in dense_numbers(df, "x").collect()} == {v: i for i, v in enumerate(sorted(set(values)))}
     assert dense_numbers(df.limit(0), "x").count() == 0
+
+
+def test_tables_in_the_shared_folder(spark):
+    from pairgraph.plans import store
+
+    kept = store.materialize(spark.range(5), "five")
+    gone = store.materialize(spark.range(3), "three")
+    store.discard(gone)
+    assert kept.count() == 5 and store.shared_dir(spark) in kept.inputFiles()[0]
+    with pytest.raises(Exception, match="FILE|exist|PATH"):
+        gone.count()
