@@ -192,7 +192,7 @@ def score_quality(
     whatever the posterior. A null text counts as empty and so fails; null ids and equal rows are kept apart
     and returned as they came; an empty table gives no rows; extra columns are ignored.
     """
-    features = docs.select(F.col(id_col).alias("id"), base_features(text_of(text_col)).alias("f"))
+    features = docs.select(F.col(id_col).alias("id"), F.explode(F.array(base_features(text_of(text_col)))).alias("f"))
     voted = materialize(_voted(features), "quality-votes")  # texts are read once
     model = fit_rules(_counts(voted), rounds=rounds)
     return _decided(docs.sparkSession, voted, model, threshold).select(
@@ -208,7 +208,8 @@ def score_quality(
 def keep_good(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5, rounds: int = 20) -> DataFrame:
     """The rows of docs that are kept, with their own columns only."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    features = held.withColumn("f", base_features(text_of(F.col("row")[text_col])))
+    # a generated column is worked out once, where a projected one would be again for each filter that is pushed down
+    features = held.select("row", F.explode(F.array(base_features(text_of(F.col("row")[text_col])))).alias("f"))
     voted = _voted(features)  # read twice: writing whole texts would cost more disk than this costs time
     model = fit_rules(_counts(voted), rounds=rounds)
     return _decided(docs.sparkSession, voted, model, threshold).where("kept").select("row.*")
