@@ -87,7 +87,7 @@ def local(img: DataFrame, view: str = "raw") -> DataFrame:
     v = F.col("descriptor") if view == "raw" else vx.stretch(F.col("descriptor"), 1, 99, None)
     parts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("v", i * 4 + 1, 4))
     e = img.select("filename", v.alias("v")).select("filename", F.posexplode(parts).alias("no", "descriptor"))
-    return e.select("filename", "no", (F.col("no") % 4 * 16 + 8).cast("double").alias("x"), (F.floor(F.col("no") / 4) * 16 + 8).cast("double").alias("y"), "descriptor")
+    return e.select("filename", F.col("no").cast("long").alias("no"), (F.col("no") % 4 * 16 + 8).cast("double").alias("x"), (F.floor(F.col("no") / 4) * 16 + 8).cast("double").alias("y"), "descriptor")
 
 
 def measured(spark: SparkSession, sf_dir: str, view: str = "raw") -> DataFrame:
