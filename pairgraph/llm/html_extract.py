@@ -1,9 +1,10 @@
 """Main text of a web page by block rules in two passes.
 
-The page is cut into blocks at block-level tags. The first pass decides a block as article or not: by where it
-stands (inside an article element, or inside menus, forms, notices, comments and the like), and elsewhere by
-link density, length and the density of stop words. Blocks that are too short to decide inherit, in the second
-pass, the label of the nearest decided neighbours. Decided blocks are never cut or capped.
+The page is cut into blocks at block-level tags. The first pass decides a block as article or not by link
+density, length and the density of stop words; its place is a further feature: what stands inside menus, forms,
+notices, comments and the like is none, and in the page's article or main less is asked of a block than outside.
+Blocks that are not decided inherit, in the second pass, the label of the nearest decided neighbours. Decided
+blocks are never cut or capped.
 """
 
 from __future__ import annotations
@@ -217,32 +218,62 @@ def _end_item(stack: list[tuple[str, int, bool]]) -> None:
             return
 
 
+def _by_text(b: Block, rules: BlockRules) -> int:
+    """1, -1 or 0 (undecided) by link density, length and stop-word density alone."""
+    if b.links > rules.links or "©" in b.text:
+        return -1
+    if b.heading or len(b.text) < rules.short:
+        return 0
+    words = _WORD.findall(b.text.lower())
+    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    return 1 if density >= rules.high or len(b.text) > rules.long and density >= rules.low else -1 if density < rules.low else 0
+
+
+def _place(blocks: list[Block], found: list[int], rules: BlockRules) -> int:
+    """The hint that speaks for a block on this page: 2 (articles), 1 (main) or 0 (neither). Articles that hold less
+    than the text found outside them are teasers or notes."""
+    top = max((b.hint for b in blocks), default=0)
+    if top == 2:
+        inside = sum(len(b.text) for b in blocks if b.hint == 2 and not b.heading and b.links <= rules.links)
+        if inside < sum(len(b.text) for b, v in zip(blocks, found, strict=True) if b.hint in (0, 1) and v > 0):
+            return 1 if any(b.hint == 1 for b in blocks) else 0
+    return max(0, top)
+
+
 def classify(blocks: list[Block], rules: BlockRules = BlockRules()) -> list[Block]:
-    """The same blocks with labels 1 (article) or -1."""
-    article = max((b.hint for b in blocks), default=0)
-    content = article < 1 and any(b.content and b.hint == 0 for b in blocks)
-    for b in blocks:  # first pass
-        if b.hint < 0:
-            b.label = -1
-        elif article > 0 and b.hint == article:
-            b.label = 1
-        elif article > 0 or content and not b.content:
-            b.label = 0 if b.heading else -1  # a title may stand before the article
-        elif b.links > rules.links or "©" in b.text:
+    """The same blocks with labels 1 (article) or -1.
+
+    Densities and length decide; a block in the page's article or main is spared the stop words, and one outside
+    must be long and full of them. On pages with neither, elements named as content are taken but for links.
+    """
+    found = [_by_text(b, rules) for b in blocks]
+    place = _place(blocks, found, rules)
+    content = all(b.hint < 1 for b in blocks) and any(b.content and b.hint == 0 for b in blocks)
+    zones = [-1 if b.hint < 0 else 1 if place and b.hint == place else 0 for b in blocks]
+    for b, v, zone in zip(blocks, found, zones, strict=True):  # first pass
+        if zone < 0:
             b.label = -1
+        elif zone:
+            b.label = 0 if b.heading else -1 if b.links > rules.links else max(0, v)
+        elif place:
+            b.label = 0 if b.heading or v > 0 and len(b.text) <= rules.long else v  # a title may stand before the article
         elif content:
-            b.label = 1
-        elif b.heading or len(b.text) < rules.short:
-            b.label = 0
+            b.label = (0 if b.heading else -1) if not b.content else -1 if v < 0 and (b.links > rules.links or "©" in b.text) else 1
         else:
-            words = _WORD.findall(b.text.lower())
-            density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            b.label = 1 if density >= rules.high or len(b.text) > rules.long and density >= rules.low else -1 if density < rules.low else 0
+            b.label = v
+    if place:  # second pass, where no label is handed into or out of the article but to a title
+        _inherit([b for b, z in zip(blocks, zones, strict=True) if z > 0], 1)
+        _inherit([b for b, z in zip(blocks, zones, strict=True) if not z and not b.heading], -1)
+    _inherit(blocks, 1)
+    return blocks
+
+
+def _inherit(blocks: list[Block], alone: int) -> None:
+    """Give undecided blocks their neighbours' labels, or alone if nothing is decided."""
     before, after = _nearest(blocks), [len(blocks) - 1 - k if k is not None else None for k in _nearest(blocks[::-1])][::-1]
-    given = [b.label or _inherited(blocks, i, before[i], after[i]) for i, b in enumerate(blocks)]  # second pass
+    given = [b.label or _inherited(blocks, i, before[i], after[i]) or alone for i, b in enumerate(blocks)]
     for b, label in zip(blocks, given, strict=True):
         b.label = label
-    return blocks
 
 
 def _nearest(blocks: list[Block]) -> list[int | None]:
@@ -255,10 +286,10 @@ def _nearest(blocks: list[Block]) -> list[int | None]:
 
 
 def _inherited(blocks: list[Block], i: int, before: int | None, after: int | None) -> int:
-    """The label of the nearest decided neighbour; a heading takes that of what follows; 1 if nothing is decided."""
+    """The label of the nearest decided neighbour; a heading takes that of what follows; 0 if nothing is decided."""
     if before is None or after is None:
         k = after if before is None else before
-        return 1 if k is None else blocks[k].label
+        return 0 if k is None else blocks[k].label
     if blocks[i].heading:
         return blocks[after].label
     if i - before == after - i:

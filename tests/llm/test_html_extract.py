@@ -68,3 +68,15 @@ def test_article_elements_are_taken_whole(spark):
         inner = r["html"][r["html"].index("<article>") + 9 : r["html"].index("</article>")]
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", inner)]
         assert h.main_text(r["html"]) == "\n".join(x for x in parts if x)
+
+
+def test_densities_decide_beside_articles():
+    cards = "".join(f"<article><h3><a href='/{i}'>Card {i}</a></h3><p>A teaser.</p></article>" for i in range(4))
+    body = (PROSE * 3).strip()
+    want = "\n".join([body, "Short one.", body])
+    for tag in ("main", "div"):
+        page = f"<body><nav>x</nav><{tag}><p>{PROSE * 3}</p><p>Short one.</p><p>{PROSE * 3}</p></{tag}>{cards}<footer>f</footer>"
+        assert h.main_text(page) == want
+    page = f"<article><h1><a href='/'>Title</a></h1><p>{PROSE * 3}</p><p>zxqv</p><p>{PROSE * 3}</p><ul><li><a href=1>See also</a></li></ul></article><p>Ad</p>"
+    assert h.main_text(page) == "\n".join(["Title", body, "zxqv", body])
+    assert h.main_text(f"<article><p>{'Zażółć gęślą jaźń ' * 20}</p></article><div>{PROSE}</div>") == ("Zażółć gęślą jaźń " * 20).strip()
