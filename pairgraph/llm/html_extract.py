@@ -4,7 +4,8 @@ The page is cut into blocks at block-level tags. The first pass decides a block
 density, length and the density of stop words; its place is a further feature: what stands inside menus, forms,
 notices, comments and the like is none, and in the page's article or main less is asked of a block than outside.
 Blocks that are not decided inherit, in the second pass, the label of the nearest decided neighbours. Decided
-blocks are never cut or capped.
+blocks are never cut or capped. A form or an element named like boilerplate that wraps the page's article or main,
+or all its text, counts as a wrapper and not as boilerplate; html and body are never boilerplate.
 """
 
 from __future__ import annotations
@@ -96,46 +97,51 @@ class Block:
     hint: int  # 2: in an article element, 1: in main, -1: in boilerplate, 0: in none of them
     content: bool  # in an element named as content
     label: int = field(default=0)
+    box: int = 0  # the outermost form or element named as boilerplate around it, if nothing else keeps it out
+    held: int = 0  # the article or main around it in that box
+    framed: bool = False  # whether that box holds page structure
 
 
-def _hints(attrs: str) -> tuple[bool, bool]:
-    """Whether the attributes name boilerplate, content."""
+def _hints(attrs: str) -> tuple[int, bool]:
+    """Whether the attributes name boilerplate (1) or hide the element (2), and whether they name content."""
     if "=" not in attrs and "hidden" not in attrs:
-        return False, False
+        return 0, False
     words: set[str] = set()
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            return True, False
+            return 2, False
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, False
+                return 2, False
             continue
         words |= {w.lower() for w in _PART.findall(value)} | {w.lower() for w in re.split(r"[^A-Za-z]+", value)}
     good = bool(words & CONTENT)
     bad = bool(words & BOILERPLATE) or "header" in words and not good
-    return bad, good and not bad
+    return int(bad), good and not bad
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks with text in page order."""
+def blocks_of(page: str, wrappers: frozenset[int] = frozenset()) -> list[Block]:
+    """Blocks with text in page order. wrappers: boxes that are no boilerplate here."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # open block elements: name, hint, content
+    stack: list[tuple[str, int, bool, int, int]] = []  # open block elements: name, hint, content, box, held
+    framed: set[int] = set()
+    number = 0
     text: list[str] = []
     linked = in_link = 0
     heading = False
     at = 0
 
-    def state() -> tuple[int, bool]:
-        return (stack[-1][1], stack[-1][2]) if stack else (0, False)
+    def state() -> tuple[int, bool, int, int]:
+        return stack[-1][1:] if stack else (0, False, 0, 0)
 
     def flush() -> None:
         nonlocal linked
         if text:
             body = " ".join(html.unescape("".join(text)).split())
             if body:
-                hint, content = state()
-                out.append(Block(body, heading, min(1.0, linked / len(body)), hint, content))
+                hint, content, box, held = state()
+                out.append(Block(body, heading, min(1.0, linked / len(body)), hint, content, box=box, held=held))
             text.clear()
         linked = 0
 
@@ -146,16 +152,29 @@ def blocks_of(page: str) -> list[Block]:
             linked += len(piece.strip())
 
     def open_(name: str, attrs: str) -> None:
-        hint, content = state()
-        bad, good = _hints(attrs)
-        if hint != -1:
-            if name in OUTSIDE or bad or name == "header" and hint < 1:
-                hint = -1
-            elif name == "article" or good and re.search(r"\barticleBody\b", attrs):
-                hint = 2
-            elif name == "main":
-                hint = max(hint, 1)
-        stack.append((name, hint, content or good))
+        nonlocal number
+        number += 1
+        hint, content, box, held = state()
+        bad, good = _hints(attrs) if name not in ("html", "body") else (0, False)  # the page's name says nothing of a part
+        out_ = name in OUTSIDE and name != "form" or bad == 2 or name == "header" and hint < 1
+        named = name == "form" or bad == 1
+        body = name == "article" or good and bool(re.search(r"\barticleBody\b", attrs))
+        if box and (out_ or named or name == "h1"):
+            framed.add(box)
+        if hint == -1:
+            if out_ or held and named:
+                box = held = 0
+            elif box and not held and (body or name == "main"):
+                held = number
+        elif out_:
+            hint = -1
+        elif named and number not in wrappers:
+            hint, box, held = -1, number, number if name in ("article", "main") else 0
+        elif body:
+            hint = 2
+        elif name == "main":
+            hint = max(hint, 1)
+        stack.append((name, hint, content or good, box, held))
 
     def close(name: str) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -205,10 +224,12 @@ def blocks_of(page: str) -> list[Block]:
     if at < len(page):
         add(page[at:])
     flush()
+    for b in out:
+        b.framed = b.box in framed
     return out
 
 
-def _end_item(stack: list[tuple[str, int, bool]]) -> None:
+def _end_item(stack: list[tuple[str, int, bool, int, int]]) -> None:
     """Close an open list item of the same list."""
     for i in range(len(stack) - 1, -1, -1):
         if stack[i][0] in ("ul", "ol", "menu", "dir"):
@@ -297,8 +318,44 @@ def _inherited(blocks: list[Block], i: int, before: int | None, after: int | Non
     return blocks[before if i - before < after - i else after].label
 
 
+def _wrapper(blocks: list[Block], rules: BlockRules) -> int:
+    """The box that isn't boilerplate but wraps the page's text, 0 if there is none.
+
+    It holds an article or main where no other has text, or a single one with more text than all others; or, on a
+    page without any text outside boxes, it holds the most text, and page structure or half of the page.
+    """
+    size = [len(b.text) if not b.heading and b.links <= rules.links else 0 for b in blocks]
+    inside = sum(n for b, n in zip(blocks, size, strict=True) if b.hint > 0)
+    held: dict[int, int] = {}
+    parts: dict[int, set[int]] = {}
+    for b, n in zip(blocks, size, strict=True):
+        if b.held and n:
+            held[b.box] = held.get(b.box, 0) + n
+            parts.setdefault(b.box, set()).add(b.held)
+    for box in sorted(held, key=held.get, reverse=True):
+        if not inside or held[box] > inside and len(parts[box]) == 1:
+            return box
+    if inside or any(b.hint == 0 and (b.content or _by_text(b, rules) > 0) for b in blocks):
+        return 0
+    whole = sum(len(b.text) for b in blocks)
+    best, most = 0, 0
+    for box in {b.box for b in blocks if b.box}:
+        own = [b for b in blocks if b.box == box]
+        text = [len(b.text) for b in own if _by_text(b, rules) > 0]
+        if sum(text) > most and (own[0].framed or len(text) > 1 and 2 * sum(len(b.text) for b in own) >= whole):
+            best, most = box, sum(text)
+    return best
+
+
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
-    return "\n".join(b.text for b in classify(blocks_of(page), rules) if b.label > 0) if page else ""
+    if not page:
+        return ""
+    wrappers: frozenset[int] = frozenset()
+    blocks = blocks_of(page)
+    while any(b.box for b in blocks) and (box := _wrapper(blocks, rules)):
+        wrappers |= {box}
+        blocks = blocks_of(page, wrappers)
+    return "\n".join(b.text for b in classify(blocks, rules) if b.label > 0)
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: BlockRules = BlockRules()) -> DataFrame:

@@ -80,3 +80,19 @@ def test_densities_decide_beside_articles():
     page = f"<article><h1><a href='/'>Title</a></h1><p>{PROSE * 3}</p><p>zxqv</p><p>{PROSE * 3}</p><ul><li><a href=1>See also</a></li></ul></article><p>Ad</p>"
     assert h.main_text(page) == "\n".join(["Title", body, "zxqv", body])
     assert h.main_text(f"<article><p>{'Zażółć gęślą jaźń ' * 20}</p></article><div>{PROSE}</div>") == ("Zażółć gęślą jaźń " * 20).strip()
+
+
+def test_page_wide_wrappers_are_no_boilerplate():
+    body = (PROSE * 3).strip()
+    rest = "<div class='cookie-notice'>We use cookies</div>"
+    side = f"<div class='sidebar'><p>{PROSE}</p></div><section id='comments'><article><p>First!</p></article></section>"
+    for inner in (f"<article><p>{body}</p></article>", f"<main><p>{body}</p></main>", f"<div><p>{body}</p></div>"):
+        page = f"<nav>x</nav><h1>T</h1>{inner}<div class='menu'>y</div>"
+        for start in ("<body class='has-sidebar'>", "<html class='comments-open'><body>", "<form id=f>", "<div class='layout-sidebar-right'>"):
+            assert h.main_text(f"{start}{page}") in (body, f"T\n{body}"), (start, inner)
+        assert h.main_text(f"<body class=comments-open><form><div class='layout-sidebar-right'>{page}</div></form>{rest}") in (body, f"T\n{body}")
+    assert h.main_text(f"<body><div class='has-sidebar'><article><p>{body}</p></article>{side}</div>{rest}") == body
+    assert h.main_text(f"<main><p>Home</p><div class='layout-sidebar-right'><article><p>{body}</p></article></div></main>").endswith(body)
+    assert h.main_text(f"<article><p>{body}</p></article>{side}") == body
+    assert h.main_text(f"<article class='post category-social'><p>{body}</p></article>{side}") == body
+    assert h.main_text(f"<div class='cookie-notice'>{body}</div>") == h.main_text(f"<nav>{body}</nav>") == ""
