@@ -1,6 +1,7 @@
 """Repeated lines and sentences: hash normalised units, keep the first occurrence, cut the others out.
 
-A unit is a line, or a sentence in a line of several. It is normalised (lower case, ASCII punctuation and white
+A unit is a line of any length, or a sentence in a line of several; a short sentence is a unit together with those
+that follow it. It is normalised (lower case, ASCII punctuation and white
 space to single spaces) and hashed to 128 bits; digests are grouped over the whole corpus with partial
 aggregates, the occurrence of the lowest rank is kept, and all others are reported with their offsets in the
 original text. Sentences find passages that were pasted into the middle of a line.
@@ -21,35 +22,50 @@ from pairgraph.llm.common import keep_batches_small
 from pairgraph.plans.store import materialize
 
 _TABLE = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
-_SENTENCE = re.compile(r"[^\s].*?(?:[.!?…。]+(?=\s)|$)", re.M)
+_SENTENCE = re.compile(r"[^\s].*?(?:[.!?…。]+(?=\s)|[。！？]+|$)", re.M)
 
 
 @dataclass(frozen=True)
 class Units:
-    """least_words: units of fewer words stay, as they recur by chance. sentences: whether lines are cut further."""
+    """least_words, least_chars: a sentence under both is short; it recurs by chance and is a unit only in a run of
+    sentences that reaches either. sentences: whether lines are cut further."""
 
     least_words: int = 6
+    least_chars: int = 24
     sentences: bool = True
 
 
 def units_of(text: str | None, p: Units) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each unit, offsets in code points without outer white space."""
+    """(start, end, words, digest) of each unit, offsets in code points without outer white space.
+
+    Lines without any word (rules, lone brackets) are no units.
+    """
     at = 0
     for line in (text or "").split("\n"):
-        pieces = [m.span() for m in _SENTENCE.finditer(line)] if p.sentences else []
         body = line.strip()
         if body:
             first = line.index(body[0])
-            spans = [(first, first + len(body))]
+            words = _normal(body)
+            if words:
+                yield at + first, at + first + len(body), len(words), xxhash.xxh3_128_digest(b" ".join(words))
+            pieces = [m.span() for m in _SENTENCE.finditer(line)] if p.sentences else []
             if len(pieces) > 1:
-                spans += pieces
-            for a, b in spans:
-                words = line[a:b].lower().encode("utf-8", "replace").translate(_TABLE).split()
-                if len(words) >= p.least_words:
-                    yield at + a, at + b, len(words), xxhash.xxh3_128_digest(b" ".join(words))
+                parts = [_normal(line[a:b]) for a, b in pieces]
+                for i, (a, _) in enumerate(pieces):
+                    run: list[bytes] = []
+                    for j in range(i, len(pieces) if parts[i] else i):
+                        run = run + parts[j] if run else parts[j]
+                        if len(run) >= p.least_words or pieces[j][1] - a >= p.least_chars:
+                            if i or j + 1 < len(pieces):  # else it is the line
+                                yield at + a, at + pieces[j][1], len(run), xxhash.xxh3_128_digest(b" ".join(run))
+                            break
         at += len(line) + 1
 
 
+def _normal(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "replace").translate(_TABLE).split()
+
+
 def _cutter(p: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -77,3 +77,23 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     assert sorted(str(tuple(r)[:2]) for r in sd.repeated_units(table).collect()) == ["(1, 0)", "(1, 0)", "(2, 0)", "(2, 28)"]
     assert sd.repeated_units(table.limit(0)).count() == 0
     assert sd.remove_repeats(table.limit(0)).count() == 0
+
+
+def test_short_lines_short_sentences_and_scripts_without_spaces(spark):
+    verse = "\n".join(f"so {a} it\nwent {a}" for a in "abcdefghijklmnopqrstuvwxyz")
+    short = "Go on. Stop it. Be at ease. Run far. No way. Sit here."
+    han = "这是一个没有空格的很长的句子它在两个文件里都出现而且超过了最低的字符数"
+    texts = [
+        f"first head\n{verse}\nAll rights reserved",
+        f"other head\n{verse}\nmiddle\nall rights reserved.",
+        f"One line that has {short} And it goes on from there.",
+        f"Another one. Where stands {short} Then it ends in other ways.",
+        f"甲乙丙。{han}。丁戊己",
+        f"子丑寅。{han}。卯辰巳\n---",
+        "---\n" + han,
+    ]
+    clean = {r["doc_id"]: r["text"] for r in sd.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert clean[0] == texts[0] and clean[2] == texts[2] and clean[4] == texts[4]
+    assert clean[1].split() == ["other", "head", "middle"]
+    assert "Run far" not in clean[3] and "Stop it" not in clean[3] and clean[3].startswith("Another one. Where stands Go on.")
+    assert han not in clean[5] and clean[5].startswith("子丑寅。") and clean[5].endswith("卯辰巳\n---")
