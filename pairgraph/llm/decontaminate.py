@@ -2,8 +2,8 @@
 
 Test items are taken in blocks of bounded size, so what goes to every executor is bounded however long the
 benchmark is. For a block, one pass counts in how many documents each of its n-grams occurs; an item's seeds
-are the rarest n-gram of every few successive ones, so any copied run of a few words holds a seed whatever the
-counts are, and common n-grams serve only where nothing rarer stands near. A second pass looks seeds up in each
+are the rarest n-gram that occurs of every few successive ones; by default every one that occurs, so any copied run
+of an n-gram's words holds a seed whatever the counts are. A second pass looks seeds up in each
 document and aligns the item with the words around them. Documents are never shuffled.
 """
 
@@ -27,12 +27,12 @@ _TABLE = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 @dataclass(frozen=True)
 class Decontamination:
-    """ngram: words of a seed. window: successive n-grams of which the rarest is a seed, so that a copied run
-    of ngram + window - 1 words is always found. share: least alignment score by the item's words. least: least
+    """ngram: words of a seed. window: successive n-grams of which the rarest that occurs is a seed, so that a copied
+    run of ngram + window - 1 words is always found. share: least alignment score by the item's words. least: least
     score. block_words: words of the items that are handled at once."""
 
     ngram: int = 3
-    window: int = 2
+    window: int = 1
     share: float = 0.4
     least: int = 8
     block_words: int = 200_000
@@ -86,10 +86,12 @@ class Block:
         for no, codes in enumerate(self.codes):
             if not len(codes):
                 continue
-            rank = counts[np.searchsorted(self.grams, codes)]
+            n = counts[np.searchsorted(self.grams, codes)]
+            rank = np.where(n > 0, n, np.iinfo(n.dtype).max)  # what occurs nowhere finds nothing
             w = min(self.p.window, len(codes))
             views = np.lib.stride_tricks.sliding_window_view(rank, w)
-            for at in np.unique(views.argmin(axis=1) + np.arange(len(views))):
+            places = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+            for at in places[n[places] > 0]:
                 found.append((codes[at], no, at))
         found.sort()
         codes = np.array([x[0] for x in found], np.int64)

@@ -75,3 +75,21 @@ def test_empty_tables(spark):
     assert d.find_leaks(some, bench.limit(0)).count() == 0
     assert sorted(str(r["doc_id"]) for r in d.find_leaks(some, bench).collect()) == ["1", "1", "None"]
     assert d.drop_leaks(some, bench).count() == 1
+
+
+def test_heavily_edited_copies_against_all_pairs(spark):
+    """Every fourth word replaced, beside whole copies that make other n-grams rarer; and random replacements."""
+    rng = random.Random(5)
+    items = [[f"i{j}w{k}" for k in range(24)] for j in range(12)]
+    docs = []
+    for j, item in enumerate(items):
+        docs.append(" ".join(["x"] * 5 + [f"e{k}" if k % 4 == 3 else w for k, w in enumerate(item)]))
+        if j % 2:
+            docs.append(" ".join(item))
+        docs += [" ".join(w if rng.random() > 0.2 else "edited" for w in item) for _ in range(5)]
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench).collect()}
+    block = d.Block([(j, [w.encode() for w in x]) for j, x in enumerate(items)], P)
+    need = max(P.least, P.share * 24)
+    want = {(i, j) for i, t in enumerate(docs) for j, x in enumerate(block.words) if d.align(x, block.encode(t))[0] >= need}
+    assert got == want and len(want) > 60
