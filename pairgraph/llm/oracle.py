@@ -124,6 +124,23 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 """
 
 
+#: Every break is followed by a mark, so that pieces keep their lengths; the mark is a control character.
+OP9 = """
+WITH marked AS (SELECT doc_id, regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(10), chr(10) || chr(30)),
+    '([.!?…]+)([\\x20\\x09-\\x0D])', '\\1' || chr(30) || '\\2', 'g'), '([。！？]+)', '\\1' || chr(30), 'g') AS t FROM documents),
+pieces AS (SELECT doc_id, i, list_sum([0] || list_transform(s[1 : i - 1], lambda x: length(x)))::INT AS off, s[i] AS piece
+  FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(30)) AS s FROM marked))),
+units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS no, off + length(piece) - length(ltrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS a,
+    off + length(rtrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS b, len(words) AS words, array_to_string(words, ' ') AS unit
+  FROM (SELECT *, regexp_extract_all(lower(piece), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words FROM pieces) WHERE len(words) > 0),
+ranked AS (SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS first_id FROM units WINDOW w AS (PARTITION BY unit ORDER BY doc_id, a)),
+runs AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS run FROM ranked WHERE place > 1),
+passages AS (SELECT doc_id, min(a) AS a, max(b) AS b, count(*) AS n, list(first_id) AS ids FROM runs GROUP BY doc_id, run HAVING sum(words) >= 20 OR sum(b - a) >= 160)
+SELECT doc_id, sum(n)::BIGINT AS n_units, sum(b - a)::BIGINT AS n_chars_cut, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, list_sort(list_distinct(flatten(list(ids)))) AS first_ids
+FROM passages GROUP BY doc_id
+"""
+
+
 def op6_sql() -> str:
     """Spans from the lengths of matches and of the pieces between them, rule by rule."""
     from pairgraph.llm.secret_scan import BASE_RULES, MORE_RULES
@@ -144,4 +161,4 @@ FROM documents LEFT JOIN g USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op3_source_mixing": OP3, "op4_near_duplicates": OP4, "op5_url_filter": OP5, "op6_secret_scan": op6_sql()}
+    return {"op2_quality_rules": OP2, "op3_source_mixing": OP3, "op4_near_duplicates": OP4, "op5_url_filter": OP5, "op6_secret_scan": op6_sql(), "op9_substring_dedup": OP9}

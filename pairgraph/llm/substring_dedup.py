@@ -1,10 +1,12 @@
 """Repeated lines and sentences: hash normalised units, keep the first occurrence, cut the others out.
 
-A unit is a line of any length, or a sentence in a line of several; a short sentence is a unit together with those
-that follow it. It is normalised (lower case, ASCII punctuation and white
-space to single spaces) and hashed to 128 bits; digests are grouped over the whole corpus with partial
-aggregates, the occurrence of the lowest rank is kept, and all others are reported with their offsets in the
-original text. Sentences find passages that were pasted into the middle of a line.
+A unit is a line, or each sentence of a line that holds several. It is normalised (lower case, ASCII punctuation and
+white space to single spaces) and hashed to 128 bits; digests are grouped over the whole corpus with partial
+aggregates, and the occurrence of the lowest rank is the one that stays. Of the others those are cut that belong to
+a repeated passage: units that follow each other in a document and are all repeated make one, and it is cut
+when it reaches a number of words. So a passage is found whether it stands in one long line, in many short ones or in
+the middle of a line, and a phrase of a few words that recurs by itself stays where it is. Offsets are those of the
+original text.
 """
 
 from __future__ import annotations
@@ -15,134 +17,152 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairgraph.llm.common import keep_batches_small
-from pairgraph.plans.store import materialize
+from pairgraph.llm.common import small_batches
+from pairgraph.plans.store import discard, materialize
 
+#: ASCII punctuation and white space separate words; every character beyond ASCII belongs to one.
 _TABLE = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
-_SENTENCE = re.compile(r"[^\s].*?(?:[.!?…。]+(?=\s)|[。！？]+|$)", re.M)
+_BREAK = re.compile(r"[.!?…]+(?=[\x20\x09-\x0D])|[。！？]+|\n")
+_SPACE = " \t\n\v\f\r"
 
 
 @dataclass(frozen=True)
 class Units:
-    """least_words, least_chars: a sentence under both is short; it recurs by chance and is a unit only in a run of
-    sentences that reaches either. sentences: whether lines are cut further."""
+    """least_words, least_chars: a repeated passage is cut if it reaches so many words, or so many code points (for
+    scripts without spaces). With 1 every repeated unit is cut, whatever its length."""
 
-    least_words: int = 6
-    least_chars: int = 24
-    sentences: bool = True
+    least_words: int = 20
+    least_chars: int = 160
 
 
-def units_of(text: str | None, p: Units) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each unit, offsets in code points without outer white space.
+def units_of(text: str | None) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of each unit in order, offsets in code points without outer white space.
 
-    Lines without any word (rules, lone brackets) are no units.
+    Units without any word (rules, lone brackets) are none.
     """
+    if not text:
+        return
+    low = text.lower()
+    if len(low) != len(text):  # a few letters get longer
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
     at = 0
-    for line in (text or "").split("\n"):
-        body = line.strip()
-        if body:
-            first = line.index(body[0])
-            words = _normal(body)
-            if words:
-                yield at + first, at + first + len(body), len(words), xxhash.xxh3_128_digest(b" ".join(words))
-            pieces = [m.span() for m in _SENTENCE.finditer(line)] if p.sentences else []
-            if len(pieces) > 1:
-                parts = [_normal(line[a:b]) for a, b in pieces]
-                for i, (a, _) in enumerate(pieces):
-                    run: list[bytes] = []
-                    for j in range(i, len(pieces) if parts[i] else i):
-                        run = run + parts[j] if run else parts[j]
-                        if len(run) >= p.least_words or pieces[j][1] - a >= p.least_chars:
-                            if i or j + 1 < len(pieces):  # else it is the line
-                                yield at + a, at + pieces[j][1], len(run), xxhash.xxh3_128_digest(b" ".join(run))
-                            break
-        at += len(line) + 1
-
-
-def _normal(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(_TABLE).split()
-
-
-def _cutter(p: Units):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                rows = [(no, *u) for no, text in enumerate(piece.column(1).to_pylist()) for u in units_of(text, p)]
-                no, start, end, words, digest = zip(*rows, strict=True) if rows else ((),) * 5
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(pa.array(no, pa.int64()))]
-                    + [pa.array(x, pa.int32()) for x in (start, end, words)]
-                    + [pa.array(digest, pa.binary())],
-                    ["id", "start", "end", "words", "digest"],
-                )
-
-    return run
-
-
-def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", units: Units = Units()) -> DataFrame:
-    """A row for each unit that isn't the first of its digest: id, start, end, words, first_id, first_start.
+    for end in [m.end() for m in _BREAK.finditer(low)] + [len(low)]:
+        part = low[at:end]
+        words = part.encode("utf-8", "replace").translate(_TABLE).split()
+        if words:
+            yield end - len(part.lstrip(_SPACE)), at + len(part.rstrip(_SPACE)), len(words), xxhash.xxh3_128_digest(b" ".join(words))
+        at = end
+
+
+def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["id", "row", "no", "start", "end", "words", "digest"]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            piece = batch.slice(at, 500)
+            rows = [(i, no, *u) for i, text in enumerate(piece.column(2).to_pylist()) for no, u in enumerate(units_of(text))]
+            i, no, start, end, words, digest = zip(*rows, strict=True) if rows else ((),) * 6
+            take = pa.array(i, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0).take(take), piece.column(1).take(take)]
+                + [pa.array(x, pa.int32()) for x in (no, start, end, words)]
+                + [pa.array(digest, pa.binary())],
+                names,
+            )
+
+
+def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each unit that isn't the first of its digest: id, row (a hash of the text), no (the unit's place in
+    it), start, end, words, first_id, first_start.
 
     Occurrences rank by id and then by offset. Rows that share an id are one document: units at the same
     offset are the same occurrence. Null ids rank before all others. Null and empty texts have no units; an
     empty table gives no rows; extra columns are ignored.
     """
-    keep_batches_small(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).cast("string").alias("text"))
     id_type = narrow.schema["id"].dataType.simpleString()
-    cut = narrow.mapInArrow(_cutter(units), f"id {id_type}, start int, end int, words int, digest binary")
+    cut = narrow.mapInArrow(_cutter, f"id {id_type}, row bigint, no int, start int, end int, words int, digest binary")
     rank = F.struct("id", "start")
-    firsts = cut.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("NOT first <=> last")
-    firsts = materialize(firsts.select("digest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")), "sd-firsts")
-    again = cut.join(firsts, "digest").where("NOT (id <=> first_id AND start = first_start)")
-    return again.select(F.col("id").alias(id_col), "start", "end", "words", "first_id", "first_start")
+    with small_batches(docs.sparkSession, 1000):
+        firsts = cut.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("NOT first <=> last")
+        firsts = materialize(firsts.select("digest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")), "sd-firsts")
+        again = cut.join(firsts, "digest").where("NOT (id <=> first_id AND start = first_start)").drop("digest")
+        out = materialize(again, "sd-again")
+    discard(firsts)
+    return out.withColumnRenamed("id", id_col)
+
+
+def _passages(p: Units):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, counts, firsts = [], [], []
+            for units in batch.column(2).to_pylist():  # sorted by place
+                out, n, ids = [], 0, []
+                for a, b in _runs([u["no"] for u in units]):
+                    start, end = units[a]["start"], units[b - 1]["end"]
+                    if sum(u["words"] for u in units[a:b]) >= p.least_words or sum(u["end"] - u["start"] for u in units[a:b]) >= p.least_chars:
+                        out.append({"start": start, "end": end})
+                        n += b - a
+                        ids += [u["first_id"] for u in units[a:b]]
+                spans.append(out)
+                counts.append(n)
+                firsts.append(sorted({x for x in ids if x is not None}) + [None] * (None in ids))
+            types = [pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.int64(), pa.list_(batch.schema.field(0).type)]
+            cols = [batch.column(0), batch.column(1)] + [pa.array(v, t) for v, t in zip((spans, counts, firsts), types, strict=True)]
+            found = pa.RecordBatch.from_arrays(cols, ["id", "row", "spans", "n_units", "first_ids"])
+            yield found.filter(pa.array([n > 0 for n in counts], pa.bool_()))
+
+    return run
+
+
+def _runs(numbers: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of indexes over which ascending numbers follow each other."""
+    a = 0
+    for i in range(1, len(numbers) + 1):
+        if i == len(numbers) or numbers[i] != numbers[i - 1] + 1:
+            yield a, i
+            a = i
 
 
 def cut_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", units: Units = Units()) -> DataFrame:
-    """Per document that loses something: id, n_units, first_ids (where its units stand first, sorted) and
-    spans (structs of start and end, sorted, joined where they overlap)."""
-    found = repeated_units(docs, id_col=id_col, text_col=text_col, units=units)
-    grouped = found.groupBy(id_col).agg(
-        F.countDistinct("start", "end").alias("n_units"),
-        F.array_sort(F.collect_set("first_id")).alias("first_ids"),
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"),
-    )
-    return grouped.select(id_col, "n_units", "first_ids", _joined(F.col("all")).alias("spans"))
-
-
-def _joined(spans: Column) -> Column:
-    """Sorted spans with those that overlap made one, built backwards onto the last one."""
-    none = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT>>)")
-
-    def add(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return (
-            F.when(F.size(acc) == 0, F.array(s))
-            .when(s["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown)))
-            .otherwise(F.concat(acc, F.array(s)))
+    """Per text that loses something: id, row (a hash of the text), spans (structs of start and end, sorted), n_units
+    (in them) and first_ids (where they stand first, sorted, null last).
+
+    Equal rows of one id are one. As in repeated_units otherwise.
+    """
+    found = repeated_units(docs, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "id")
+    unit = F.struct("no", "start", "end", "words", "first_id")
+    grouped = found.groupBy("id", "row").agg(F.array_sort(F.collect_set(unit)).alias("units"))
+    id_type = found.schema["id"].dataType.simpleString()
+    with small_batches(docs.sparkSession, 1000):
+        spans = materialize(
+            grouped.mapInArrow(_passages(units), f"id {id_type}, row bigint, spans array<struct<start:int,end:int>>, n_units bigint, first_ids array<{id_type}>"),
+            "sd-spans",
         )
+    return spans.withColumnRenamed("id", id_col)
 
-    return F.aggregate(spans, none, add)
+
+def _without(text: str, spans: list[dict]) -> str:
+    edges = [0] + [x for s in spans for x in (s["start"], s["end"])] + [len(text)]
+    return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", units: Units = Units()) -> DataFrame:
-    """docs with repeated units cut out of the text; columns and rows otherwise as they were."""
-    spans = cut_spans(docs, id_col=id_col, text_col=text_col, units=units).select(F.col(id_col).alias("cut_id"), "spans")
-    spans = materialize(spans, "sd-spans")
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("key"))
-    joined = held.join(spans, held["key"].eqNullSafe(spans["cut_id"]), "left")
-    text = F.col("row")[text_col]
-    walked = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).alias("out")
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    clean = F.when(F.col("spans").isNull(), text).otherwise(walked)
-    return joined.select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    """docs with repeated passages cut out of the text; columns and rows otherwise as they were."""
+    spans = cut_spans(docs, id_col=id_col, text_col=text_col, units=units).select(F.col(id_col).alias("cut_id"), F.col("row").alias("cut_row"), "spans")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("key"), F.xxhash64(F.col(text_col)).alias("hash"))
+    same = held["key"].eqNullSafe(spans["cut_id"]) & (held["hash"] == spans["cut_row"])
+    joined = held.join(spans, same, "left").select("doc", "spans")
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = batch.column(0).flatten()
+            texts = [t if s is None else _without(t, s) for t, s in zip(cols[at].to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    with small_batches(docs.sparkSession, 1000):
+        return materialize(joined.mapInArrow(run, docs.schema), "sd-clean")
