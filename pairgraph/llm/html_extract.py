@@ -3,6 +3,7 @@
 The page is cut into blocks at block-level tags. The first pass decides a block as article or not by link
 density, length and the density of stop words; its place is a further feature: what stands inside menus, forms,
 notices, comments and the like is none, and in the page's article or main less is asked of a block than outside.
+On a page where no block has enough stop words (another language) length and link density decide alone.
 Blocks that are not decided inherit, in the second pass, the label of the nearest decided neighbours. Decided
 blocks are never cut or capped. A form or an element named like boilerplate that wraps the page's article or main,
 or all its text, counts as a wrapper and not as boilerplate; html and body are never boilerplate.
@@ -13,15 +14,16 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairgraph.llm.common import keep_batches_small
+from pairgraph.llm.common import small_batches
+from pairgraph.plans.store import materialize
 
-# Frequent function words of English, French, German and Spanish.
+#: Frequent function words of English, French, German and Spanish: a free choice.
 STOP_WORDS = frozenset(
     """
     a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their
@@ -49,7 +51,7 @@ OUTSIDE = frozenset(
     nav noframes noscript object optgroup option select svg template textarea title video
     """.split()
 )
-# Words in class, id, role and itemprop attributes.
+#: Words in class, id, role and itemprop attributes that name boilerplate and content: a free choice.
 BOILERPLATE = frozenset(
     """
     ad ads adslot advert advertisement advertising adverts alert banner breadcrumb breadcrumbs
@@ -268,6 +270,8 @@ def classify(blocks: list[Block], rules: BlockRules = BlockRules()) -> list[Bloc
     must be long and full of them. On pages with neither, elements named as content are taken but for links.
     """
     found = [_by_text(b, rules) for b in blocks]
+    if not any(v > 0 for b, v in zip(blocks, found, strict=True) if b.hint >= 0):
+        found = [_by_text(b, replace(rules, low=0.0, high=0.0)) for b in blocks]  # the stop words of another language
     place = _place(blocks, found, rules)
     content = all(b.hint < 1 for b in blocks) and any(b.content and b.hint == 0 for b in blocks)
     zones = [-1 if b.hint < 0 else 1 if place and b.hint == place else 0 for b in blocks]
@@ -307,15 +311,14 @@ def _nearest(blocks: list[Block]) -> list[int | None]:
 
 
 def _inherited(blocks: list[Block], i: int, before: int | None, after: int | None) -> int:
-    """The label of the nearest decided neighbour; a heading takes that of what follows; 0 if nothing is decided."""
+    """The label of the nearest decided neighbour, of two that are as near that of the one before; a heading takes that of
+    what follows; 0 if nothing is decided."""
     if before is None or after is None:
         k = after if before is None else before
         return 0 if k is None else blocks[k].label
     if blocks[i].heading:
         return blocks[after].label
-    if i - before == after - i:
-        return max(blocks[before].label, blocks[after].label) if blocks[i].content else min(blocks[before].label, blocks[after].label)
-    return blocks[before if i - before < after - i else after].label
+    return blocks[before if i - before <= after - i else after].label
 
 
 def _wrapper(blocks: list[Block], rules: BlockRules) -> int:
@@ -363,21 +366,19 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
 
     Null and empty pages, and pages without an article, have an empty text. Null ids and URLs are carried,
     equal rows come back one by one, an empty table gives no rows, and extra columns are ignored. Pages are
-    read a few at a time, so long ones need the memory of one.
+    read a few at a time, so long ones need the memory of one. The result is written to the shared folder.
     """
-    keep_batches_small(pages.sparkSession)
     narrow = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                texts = [main_text(x, rules) for x in piece.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                    ["id", "url", "text", "n_chars"],
-                )
+            texts = [main_text(x, rules) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                ["id", "url", "text", "n_chars"],
+            )
 
     types = [narrow.schema[c].dataType.simpleString() for c in ("id", "url")]
-    out = narrow.mapInArrow(run, f"id {types[0]}, url {types[1]}, text string, n_chars bigint")
+    with small_batches(pages.sparkSession, 256):
+        out = materialize(narrow.mapInArrow(run, f"id {types[0]}, url {types[1]}, text string, n_chars bigint"), "main-texts")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

@@ -1,5 +1,10 @@
 """HTML extraction on pages whose article is known."""
 
+import os
+import random
+import re
+from collections import Counter
+
 from pairgraph.llm import html_extract as h
 
 PROSE = "It was the best of times and it was the worst of times, for we had all that there is to have in the city of the king, "
@@ -58,8 +63,6 @@ def test_frame(spark):
 def test_article_elements_are_taken_whole(spark):
     """Every page of the smallest tables, against what stands between the article tags."""
     import html
-    import os
-    import re
 
     path = "/root/testdata/sf0.001/pages.parquet"
     if not os.path.exists(path):
@@ -96,3 +99,66 @@ def test_page_wide_wrappers_are_no_boilerplate():
     assert h.main_text(f"<article><p>{body}</p></article>{side}") == body
     assert h.main_text(f"<article class='post category-social'><p>{body}</p></article>{side}") == body
     assert h.main_text(f"<div class='cookie-notice'>{body}</div>") == h.main_text(f"<nav>{body}</nav>") == ""
+
+
+def _bare(page):
+    """The page with its telling tags renamed and without attributes that name parts."""
+    page = re.sub(r"<(/?)(article|nav|footer|header|aside|main|section)\b", r"<\1div", page)
+    return re.sub(r"""\s(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def _words(text):
+    return Counter(text.split())
+
+
+def test_densities_find_the_article_without_its_tags(spark, monkeypatch):
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        return
+    whole = found = more = 0
+    bare = [_bare(r["html"]) for r in spark.read.parquet(path).collect()]
+    texts = [h.main_text(p) for p in bare]
+    for r, got in zip(spark.read.parquet(path).collect(), texts, strict=True):
+        want, got = _words(h.main_text(r["html"])), _words(got)
+        whole, found, more = whole + want.total(), found + (want & got).total(), more + (got - want).total()
+    assert found >= 0.95 * whole and more <= 0.02 * whole
+    monkeypatch.setattr(h, "STOP_WORDS", frozenset())
+    assert [h.main_text(p) for p in bare] != texts
+
+
+def _by_two_passes(blocks, rules=h.BlockRules()):
+    """blocks: (text, linked share) without any structure; the labels by the rules as they are worded."""
+
+    def first(text, links, low, high):
+        words = re.findall(r"\w+", text.lower())
+        density = sum(w in h.STOP_WORDS for w in words) / max(1, len(words))
+        if links > rules.links:
+            return -1
+        if len(text) < rules.short:
+            return 0
+        if density >= high or len(text) > rules.long and density >= low:
+            return 1
+        return -1 if density < low else 0
+
+    labels = [first(t, x, rules.low, rules.high) for t, x in blocks]
+    if 1 not in labels:
+        labels = [first(t, x, 0, 0) for t, x in blocks]
+    out = []
+    for i, label in enumerate(labels):
+        near = sorted((abs(i - k), k, v) for k, v in enumerate(labels) if v)
+        out.append(label or (near[0][2] if near else 1))
+    return out
+
+
+def test_two_passes_against_the_worded_rules():
+    rng = random.Random(3)
+    stop, other = sorted(h.STOP_WORDS), ["zyx" + c for c in "abcdefghij"]
+    for _ in range(300):
+        blocks, page = [], ""
+        for _ in range(rng.randrange(1, 12)):
+            share, n, links = rng.choice([0, 0.05, 0.12, 0.5]), rng.choice([2, 8, 20, 60]), rng.choice([0, 0, 0, 1])
+            text = " ".join(rng.choice(stop) if rng.random() < share else rng.choice(other) for _ in range(n))
+            blocks.append((text, links))
+            page += f"<p><a href=x>{text}</a></p>" if links else f"<p>{text}</p>"
+        want = [t for (t, _), label in zip(blocks, _by_two_passes(blocks), strict=True) if label > 0]
+        assert h.main_text(page) == "\n".join(want)
