@@ -1,8 +1,9 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed character n-grams that occur in it. Each is scaled by the log ratio of how
-often it occurs in toxic and in other labelled texts, and logistic regression with an L2 penalty is fitted on
-the scaled features. Fitting uses a bounded sample of labelled rows; scoring reads every text whole.
+A text's features are the hashed character n-grams that occur in it, of which those stay that occur in toxic
+texts more or less often than by chance. Each is scaled by the log ratio of how often it occurs in toxic and in other
+labelled texts, and logistic regression with an L2 penalty is fitted on the scaled features. Fitting uses a bounded
+sample of labelled rows; scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairgraph.llm.common import keep_batches_small
+from pairgraph.llm.common import small_batches
+from pairgraph.plans.store import discard, materialize
 
 _U = np.uint64
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], _U)
@@ -24,115 +26,152 @@ _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 @dataclass(frozen=True)
 class Toxicity:
-    """sizes: of n-grams. bits: of the feature space. fit_rows, fit_chars: the sample for fitting is at most so
-    many labelled rows, of texts of at most so many code points. least_rows: features that fewer rows of the
-    sample have are left out. penalty, rounds, rate: of the regression. decide: the score from which a text is
-    called toxic."""
+    """sizes: of n-grams. bits: of the feature space. fit_rows: the sample for fitting is at most so many labelled rows
+    of each class. least_rows, least_z: features that fewer rows of the sample have, or that lie by fewer standard
+    deviations off chance, are left out. penalty, rounds: of the regression. folds: by which the score decide, from
+    which a text is called toxic, is placed."""
 
     sizes: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
-    fit_rows: int = 4000
-    fit_chars: int = 20_000
+    fit_rows: int = 6000
     least_rows: int = 3
-    penalty: float = 0.01
-    rounds: int = 80
-    rate: float = 0.02
+    least_z: float = 3.0
+    penalty: float = 0.001
+    rounds: int = 100
+    folds: int = 3
     decide: float = 0.7
 
 
-class Featurizer:
-    """Distinct hashed n-grams of a text, found block by block so that memory doesn't grow with the text."""
-
-    def __init__(self, p: Toxicity, block: int = 1 << 16):
-        self.p, self.block = p, block
-        self.seen = np.zeros(1 << p.bits, bool)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-        found = []
-        longest = max(self.p.sizes)
-        for at in range(0, len(points), self.block):
-            part = points[at : at + self.block + longest - 1].astype(_U)
-            state = None
-            for n in range(1, min(longest, len(part)) + 1):
-                state = part * _MUL[0] if n == 1 else (state[:-1] * _MUL[1]) ^ (part[n - 1 :] + _U(n) * _MUL[2])
-                if n in self.p.sizes:
-                    code = ((state * _MUL[3]) >> _U(64 - self.p.bits)).astype(np.int64)
-                    new = code[~self.seen[code]]
-                    self.seen[new] = True
-                    found.append(new)
-        if not found:
-            return np.empty(0, np.int64)
-        out = np.concatenate(found)
-        out = out[self.seen[out]]
-        self.seen[out] = False
-        return np.unique(out)
+def features_of(texts: list[str | None], p: Toxicity, keep: np.ndarray | None = None, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature): the distinct hashed n-grams of each text in order; with keep only those that it marks.
+
+    Texts are hashed together, block by block, so memory is that of the code points and of what is found.
+    """
+    lows = [(t or "").lower() for t in texts]
+    points = np.frombuffer("".join(lows).encode("utf-32-le", "replace"), np.uint32)
+    ends = np.cumsum([len(t) for t in lows])
+    longest, found = max(p.sizes), [np.empty(0, np.int64)]
+    for at in range(0, len(points), block):
+        part = points[at : at + block + longest - 1].astype(_U)
+        state = part * _MUL[0]
+        for n in range(1, min(longest, len(part)) + 1):
+            if n > 1:
+                state = (state[:-1] * _MUL[1]) ^ (part[n - 1 :] + _U(n) * _MUL[2])
+            if n in p.sizes:
+                code = ((state[:block] * _MUL[3]) >> _U(64 - p.bits)).astype(np.int64)
+                here = np.arange(len(code)) if keep is None else np.flatnonzero(keep[code])
+                owner = np.searchsorted(ends, here + at, side="right")
+                inside = here + at + n <= ends[owner]  # not over the end of its text
+                found.append(_distinct((owner[inside] << p.bits) | code[here[inside]]))
+    out = _distinct(np.concatenate(found))
+    return out >> p.bits, out & ((1 << p.bits) - 1)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 @dataclass
 class Model:
-    weights: np.ndarray  # float32, of each feature, with its ratio
+    weights: np.ndarray  # of each feature, with its ratio
     bias: float
 
-    def score(self, features: np.ndarray) -> float:
-        z = float(self.weights[features].sum(dtype=np.float64)) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def score(self, texts: list[str | None], p: Toxicity) -> np.ndarray:
+        owner, code = features_of(texts, p, self.weights != 0)
+        return _chance(np.bincount(owner, weights=self.weights[code], minlength=len(texts)) + self.bias)
+
+
+def _chance(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, p: Toxicity) -> Model:
-    """rows: sorted features of each text (the list is emptied); labels: 0 or 1. Classes weigh alike.
+def choose_features(rows: np.ndarray, toxic_rows: np.ndarray, n: int, toxic: int, p: Toxicity) -> np.ndarray:
+    """Features whose count in toxic texts is least_z deviations or more from that of chance. rows, toxic_rows: the
+    texts, and the toxic ones, that have each feature; n, toxic: all of them."""
+    share = toxic / n if n else 0.0
+    spread = np.sqrt(np.maximum(rows * share * (1 - share), 1e-9))
+    return np.flatnonzero((rows >= p.least_rows) & (np.abs(toxic_rows - rows * share) >= p.least_z * spread))
 
-    Without rows all texts score 0.5; with one class only, all score as that class.
+
+def fit(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, n_features: int, p: Toxicity) -> tuple[np.ndarray, float]:
+    """(weights, bias) from the entries (row, feature) and the rows' labels, 0 or 1. Classes weigh alike.
+
+    Each feature is scaled by its naive Bayes log-count ratio (of presence, one added to each count), and the mean
+    logistic loss with penalty / 2 times the squared weights is brought to its least by limited-memory BFGS. Without
+    rows all texts score 0.5; with one class only, all score as that class.
     """
-    n, size = len(rows), 1 << p.bits
-    y = labels.astype(np.float64)
+    n, y = len(labels), labels.astype(np.float64)
     toxic = y.sum()
     if not n or toxic in (0, n):
-        return Model(np.zeros(size, np.float32), 0.0 if not n else (2.0 if toxic else -2.0))
-    seen = np.zeros(size, np.int32)
-    for r in rows:
-        seen[r] += 1  # a row's features are distinct
-    common = seen >= p.least_rows
-    rows[:] = [r[common[r]].astype(np.int32, copy=False) for r in rows]
-    lengths = np.array([len(r) for r in rows])
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    index = np.concatenate(rows)
-    rows.clear()
-    blocks = _row_blocks(lengths)
-    # naive Bayes ratios of presence, one added to each count
-    in_toxic = np.zeros(size)
-    for i, j in blocks:
-        in_toxic += np.bincount(index[starts[i] : starts[j]], weights=np.repeat(y[i:j], lengths[i:j]), minlength=size)
-    in_rest = seen - in_toxic
-    ratio = np.where(common, np.log((in_toxic + 1) / (toxic + 2)) - np.log((in_rest + 1) / (n - toxic + 2)), 0.0)
-    weigh = np.where(y == 1, n / (2 * toxic), n / (2 * (n - toxic))) / n
-    w, b = np.zeros(size), 0.0
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    for step in range(1, p.rounds + 1):  # gradient descent with moments
-        scaled, g, g_bias = w * ratio, np.zeros(size), 0.0
-        for i, j in blocks:
-            part = index[starts[i] : starts[j]]
-            z = np.full(j - i, b)
-            full = np.flatnonzero(lengths[i:j])
-            if len(full):
-                z[full] += np.add.reduceat(scaled[part], starts[i:j][full] - starts[i])
-            error = weigh[i:j] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j])
-            g += np.bincount(part, weights=np.repeat(error, lengths[i:j]), minlength=size)
-            g_bias += float(error.sum())
-        g = ratio * g + p.penalty * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * g_bias, 0.99 * vb + 0.01 * g_bias**2
-        first, second = 1 - 0.9**step, 1 - 0.99**step
-        w = w - p.rate * (m / first) / (np.sqrt(v / second) + 1e-8)
-        b = b - p.rate * (mb / first) / (np.sqrt(vb / second) + 1e-8)
-    return Model((w * ratio).astype(np.float32), float(b))
-
-
-def _row_blocks(lengths: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
-    """Ranges of rows of about so many features each, so that fitting needs little more memory than its sample."""
-    place = np.cumsum(lengths) // most
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(lengths)]])
-    return [(int(i), int(j)) for i, j in zip(edges[:-1], edges[1:], strict=True) if i < j]
+        return np.zeros(n_features), 0.0 if not n else (2.0 if toxic else -2.0)
+    in_toxic = np.bincount(features, weights=y[rows], minlength=n_features)
+    in_rest = np.bincount(features, minlength=n_features) - in_toxic
+    ratio = np.log((in_toxic + 1) / (toxic + 2)) - np.log((in_rest + 1) / (n - toxic + 2))
+    weigh = np.where(y == 1, 0.5 / toxic, 0.5 / (n - toxic))
+
+    def loss(wb: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(rows, weights=(wb[:-1] * ratio)[features], minlength=n) + wb[-1]
+        error = weigh * (_chance(z) - y)
+        g = np.append(ratio * np.bincount(features, weights=error[rows], minlength=n_features) + p.penalty * wb[:-1], error.sum())
+        return float(weigh @ (np.logaddexp(0, z) - y * z)) + p.penalty / 2 * float(wb[:-1] @ wb[:-1]), g
+
+    wb = _lowest(loss, np.zeros(n_features + 1), p.rounds)
+    return wb[:-1] * ratio, float(wb[-1])
+
+
+def _lowest(f, x: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
+    """Where the convex f (value and gradient) is least, by limited-memory BFGS with halved steps."""
+    value, g = f(x)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        if np.abs(g).max() < 1e-7:
+            break
+        q, parts = g.copy(), []
+        for s, y, r in reversed(steps):
+            parts.append(r * (s @ q))
+            q -= parts[-1] * y
+        if steps:
+            s, y, r = steps[-1]
+            q /= r * (y @ y)
+        for (s, y, r), a in zip(steps, reversed(parts), strict=True):
+            q += (a - r * (y @ q)) * s
+        size, slope = 1.0, g @ q
+        while size > 1e-10:
+            new_value, new_g = f(x - size * q)
+            if new_value <= value - 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break
+        s, y = -size * q, new_g - g
+        x, value, g = x + s, new_value, new_g
+        if s @ y > 1e-12:
+            steps = [*steps, (s, y, 1 / (s @ y))][-memory:]
+    return x
+
+
+def fit_at(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, weigh: np.ndarray, n_features: int, p: Toxicity) -> tuple[np.ndarray, float]:
+    """fit(), with the bias moved so that the score p.decide is where it tells the classes apart best.
+
+    Best is the largest F1 over rows scored by models of the other folds; weigh: how many rows of the corpus each one
+    stands for.
+    """
+    weights, bias = fit(rows, features, labels, n_features, p)
+    z, part = np.zeros(len(labels)), np.arange(len(labels)) % p.folds
+    if len(labels) < 10 * p.folds or any(len(set(labels[part != k])) < 2 for k in range(p.folds)):
+        return weights, bias
+    for k in range(p.folds):
+        learn = part != k
+        number = np.cumsum(learn) - 1
+        mine = learn[rows]
+        w, b = fit(number[rows[mine]], features[mine], labels[learn], n_features, p)
+        z += np.where(learn, 0.0, np.bincount(rows, weights=w[features], minlength=len(labels)) + b)
+    order = np.argsort(-z, kind="stable")
+    right, called = np.cumsum((weigh * labels)[order]), np.cumsum(weigh[order])
+    at = int(np.argmax(2 * right / (called + (weigh * labels).sum())))
+    edge = z[order[at]] if at + 1 == len(z) else (z[order[at]] + z[order[at + 1]]) / 2
+    return weights, bias - float(edge) + float(np.log(p.decide / (1 - p.decide)))
 
 
 def fold_of(key: Column, folds: int = 3) -> Column:
@@ -141,35 +180,75 @@ def fold_of(key: Column, folds: int = 3) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, params: Toxicity) -> Model:
-    """The model from labelled rows outside fold 1. The sample is those rows whose hashed ids come first."""
-    p = params
+    """The model from labelled rows outside fold 1. The sample is the rows of each class whose hashed ids come first.
+
+    Features of the sample's texts are made and counted on the executors; what the counts leave of them is fitted in
+    one task, whose input is bounded by the sample.
+    """
+    p, spark, size = params, docs.sparkSession, 1 << params.bits
     named = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     named = named.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")).where(fold_of(F.col("id")) != 1)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= p.fit_chars)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    known = materialize(named.join(texts.select("id").distinct(), "id", "left_semi"), "toxic-known")
     order = [F.xxhash64("id"), F.col("id")]
-    chosen = named.join(texts.select("id").distinct(), "id", "left_semi").orderBy(*order).limit(p.fit_rows)
-    sample = texts.join(chosen, "id").select("id", "y", "text")
+    both = [known.where(f"y = {y}").orderBy(*order).limit(p.fit_rows) for y in (0, 1)]
+    chosen = F.broadcast(both[0].unionByName(both[1]))  # 2 * fit_rows ids at most
+    stands = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, rows, y = Featurizer(p), [], []
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y += batch.column(0).to_pylist()
-            rows += [make(t).astype(np.int32) for t in batch.column(1).to_pylist()]
-        model = fit(*_in_order(rows, np.array(y, np.int64)), p)
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
-
-    # the sample is bounded, so one task fits it; only the model comes to the driver
-    one = sample.orderBy(*order, "text").limit(p.fit_rows).select("y", "text").coalesce(1)
-    found = one.mapInArrow(fitted, "weights binary, bias double").collect()
-    if not found:
-        return Model(np.zeros(1 << p.bits, np.float32), 0.0)
-    return Model(np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"])
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = features_of([text], p)[1].astype(np.int32)
+                key = hashlib.blake2b(found, digest_size=16).digest()
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([y], pa.int32()), pa.array([found.tobytes()])], ["key", "y", "features"])
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, toxic = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for batch in batches:
+            for y, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = np.frombuffer(found, np.int32)  # distinct
+                rows[at] += 1
+                toxic[at] += y
+        some = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(rows[some]), pa.array(toxic[some])], ["feature", "n", "toxic"])
+
+    with small_batches(spark, 200):
+        sample = texts.join(chosen, "id").select("y", "text")
+        sample = materialize(sample.mapInArrow(made, "key binary, y int, features binary"), "toxic-sample")
+        counts = sample.select("y", "features").mapInArrow(counted, "feature bigint, n bigint, toxic bigint")
+        counts = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= p.least_rows)
+        n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+        found = counts.collect()  # a row for each feature at most, of which there are 2 ** bits
+    rows, in_toxic = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    at = np.array([r["feature"] for r in found], np.int64)
+    rows[at], in_toxic[at] = [r["n"] for r in found], [r["toxic"] for r in found]
+    chosen_features = choose_features(rows, in_toxic, n, toxic, p)
+    number = np.full(size, -1, np.int32)
+    number[chosen_features] = np.arange(len(chosen_features))
 
-def _in_order(rows: list[np.ndarray], y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """An order that depends on the rows alone, so that sums come out alike in reruns."""
-    order = sorted(range(len(rows)), key=lambda i: (int(y[i]), hashlib.blake2b(rows[i], digest_size=16).digest()))
-    return [rows[i] for i in order], y[order]
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, y = [], []
+        for batch in batches:
+            for label, mine in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = number[np.frombuffer(mine, np.int32)]
+                entries.append(found[found >= 0])
+                y.append(label)
+        labels_ = np.array(y, np.int64)
+        of = np.bincount(labels_, minlength=2)
+        weigh = np.array([stands.get(v, 0) / max(1, of[v]) for v in (0, 1)])[labels_] if len(y) else np.empty(0)
+        row = np.repeat(np.arange(len(y)), [len(e) for e in entries])
+        weights, bias = fit_at(row, np.concatenate([np.empty(0, np.int64), *entries]).astype(np.int64), labels_, weigh, len(chosen_features), p)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
+
+    # the order depends on the rows alone, so that sums come out alike in reruns
+    with small_batches(spark, 200):
+        model = sample.orderBy("key", "y").coalesce(1).mapInArrow(fitted, "weights binary, bias double").collect()
+    discard(known, sample)
+    weights = np.zeros(size)
+    if not model:
+        return Model(weights, 0.0)
+    weights[chosen_features] = np.frombuffer(model[0]["weights"], np.float64)
+    return Model(weights, model[0]["bias"])
 
 
 def score_toxicity(
@@ -185,26 +264,31 @@ def score_toxicity(
 
     Labels other than 0 and 1 and labels without a text are ignored, several labels of one id count as the
     largest. Null and empty texts have no features and get the score of the bias; a null id is not held out; equal rows score
-    alike; an empty table gives no rows; without labels all score 0.5. Extra columns are ignored.
+    alike; an empty table gives no rows; without labels all score 0.5. Extra columns are ignored. Scores are written to
+    the shared folder.
     """
     p = params
-    keep_batches_small(docs.sparkSession)
     model = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, params=p)
     narrow = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(fold_of(F.col(id_col)) == 1, F.lit(False)).alias("held_out"),
         F.col(text_col).cast("string").alias("text"),
     )
+    used = np.flatnonzero(model.weights)
+    values, bias = model.weights[used], model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Featurizer(p)
+        weights = np.zeros(1 << p.bits)
+        weights[used] = values
+        mine = Model(weights, bias)
         for batch in batches:
-            scores = np.array([model.score(make(t)) for t in batch.column(2).to_pylist()], np.float64)
+            scores = mine.score(batch.column(2).to_pylist(), p)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= p.decide).astype(np.int32))],
                 ["id", "held_out", "score", "predicted"],
             )
 
     id_type = narrow.schema["id"].dataType.simpleString()
-    out = narrow.mapInArrow(run, f"id {id_type}, held_out boolean, score double, predicted int")
+    with small_batches(docs.sparkSession, 500):
+        out = materialize(narrow.mapInArrow(run, f"id {id_type}, held_out boolean, score double, predicted int"), "toxicity")
     return out.withColumnRenamed("id", id_col)

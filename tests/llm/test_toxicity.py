@@ -53,13 +53,53 @@ def test_held_out_labels_are_never_read(spark):
 
 
 def test_features_do_not_depend_on_blocks():
-    text = "Some text, é𝄞 " * 40
-    whole = t.Featurizer(SMALL)(text)
+    texts = ["Some text, é𝄞 " * 40, None, "", "abc", "a" * 5000, "xy", "Some text"]
+    owner, code = t.features_of(texts, SMALL)
     for block in (7, 64, 10**6):
-        make = t.Featurizer(SMALL, block)
-        assert np.array_equal(make(text), whole) and np.array_equal(make(text), whole)
-    low = text.lower()
-    assert len(whole) <= len({low[i : i + n] for n in SMALL.sizes for i in range(len(low) - n + 1)})
+        assert all(np.array_equal(a, b) for a, b in zip(t.features_of(texts, SMALL, block=block), (owner, code), strict=True))
+    for i, text in enumerate(texts):
+        mine = code[owner == i]
+        assert np.array_equal(t.features_of([text], SMALL)[1], mine)  # whatever stands beside it
+        low = (text or "").lower()
+        grams = {low[k : k + n] for n in SMALL.sizes for k in range(len(low) - n + 1)}
+        assert len(mine) <= len(grams) and len(mine) >= 0.95 * len(grams)
+    keep = np.zeros(1 << SMALL.bits, bool)
+    keep[code[::3]] = True
+    some = t.features_of(texts, SMALL, keep)
+    assert np.array_equal(some[0], owner[keep[code]]) and np.array_equal(some[1], code[keep[code]])
+
+
+def test_fit_against_newton_steps():
+    """The same loss, written densely and brought to its least by Newton's method."""
+    rng = np.random.default_rng(4)
+    n, k = 120, 15
+    y = (rng.random(n) < 0.3).astype(int)
+    x = (rng.random((n, k)) < np.where(y[:, None] == 1, np.linspace(0.1, 0.6, k), 0.3)).astype(float)
+    p = t.Toxicity(penalty=0.01)
+    weights, bias = t.fit(*np.nonzero(x), y, k, p)
+    toxic = y.sum()
+    ratio = np.log(((x[y == 1].sum(0) + 1) / (toxic + 2)) / ((x[y == 0].sum(0) + 1) / (n - toxic + 2)))
+    a = np.c_[x * ratio, np.ones(n)]
+    weigh, ridge = np.where(y == 1, 0.5 / toxic, 0.5 / (n - toxic)), np.diag([0.01] * k + [0.0])
+    w = np.zeros(k + 1)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-a @ w))
+        w -= np.linalg.solve(a.T @ (a * (weigh * q * (1 - q))[:, None]) + ridge, a.T @ (weigh * (q - y)) + ridge @ w)
+    assert np.allclose(np.append(weights, bias), np.append(w[:-1] * ratio, w[-1]), atol=1e-4)
+
+
+def test_chosen_features_lie_off_chance():
+    rows, toxic = np.array([100, 100, 2, 50]), np.array([10, 40, 2, 5])
+    assert list(t.choose_features(rows, toxic, 1000, 100, t.Toxicity())) == [1]  # (40 - 10) / 3 deviations
+
+
+def test_long_labelled_texts_count(spark):
+    """Labelled texts of any length are learned from."""
+    filler = " ".join(f"w{i}" for i in range(6000))
+    docs = spark.createDataFrame([(i, filler + (" grubnard snotwick" if i % 2 else ""), "s", 1) for i in range(60)], "doc_id long, text string, source string, score int")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    out = t.score_toxicity(docs, labels, params=SMALL).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in out)
 
 
 def test_empty(spark):
