@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairgraph.llm.common import WORD, text_of, words_of
+from pairgraph.llm.common import WORD, let, text_of, words_of
 from pairgraph.plans.store import materialize
 
 RULES = ("length", "symbols", "symbol_share", "word_length", "line_repeats", "word_repeats", "capitals")
@@ -64,19 +64,19 @@ def base_features(text: Column) -> Column:
         return F.struct(
             n.cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            _let(windows, _covered).alias("n_repeat_words"),
+            let(windows, _covered).alias("n_repeat_words"),
         )
 
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(WORD)))
-    by_words = _let(words, from_words)
-    by_lines = _let(
+    by_words = let(words, from_words)
+    by_lines = let(
         lines,
         lambda x: F.struct(
             F.size(x).cast("long").alias("n_lines"),
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         ),
     )
-    return _let(
+    return let(
         F.struct(by_words.alias("w"), by_lines.alias("l")),
         lambda x: F.struct(
             x["w"]["n_words"].alias("n_words"),
@@ -90,11 +90,6 @@ def base_features(text: Column) -> Column:
     )
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value worked out once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _covered(windows: Column) -> Column:
     """Words covered by windows of equal hash; windows: sorted structs (h, p), or null."""
     n = F.size(windows)
@@ -103,9 +98,9 @@ def _covered(windows: Column) -> Column:
         lambda i: ((i > 0) & (F.get(windows, i - 1)["h"] == windows[i]["h"]))
         | ((i < n - 1) & (F.get(windows, i + 1)["h"] == windows[i]["h"])),
     )
-    places = _let(marked, lambda m: F.array_sort(F.transform(m, lambda i: windows[i]["p"])))
+    places = let(marked, lambda m: F.array_sort(F.transform(m, lambda i: windows[i]["p"])))
     return F.when(windows.isNull(), F.lit(0)).otherwise(
-        _let(
+        let(
             places,
             lambda p: F.when(F.size(p) == 0, F.lit(0)).otherwise(
                 F.aggregate(

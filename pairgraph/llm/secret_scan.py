@@ -1,10 +1,11 @@
-"""Secret scan with a trigram index in front of the regular expressions.
-
-From each rule's regular expression a Boolean query over trigrams is derived that every match must satisfy.
-The postings (trigram, document) of the trigrams that any rule asks for are built in one pass over the text and
-intersected per document; only documents that satisfy a rule's query are searched with its expression. Rules
-without mandatory trigrams search every document. Matches carry code-point offsets, which come from the lengths
-of the pieces between matches, so all of it is DataFrame expressions.
+"""Secret scan with trigram queries in front of the regular expressions.
+
+From each rule's regular expression a Boolean query over trigrams is derived that every match must satisfy, and only
+documents that satisfy a rule's query are searched with its expression. Rules without mandatory trigrams search
+every document. A scan of all documents meets the queries document at a time, where the text is, so no text is moved:
+posting lists by trigram would have to send every candidate's text to its row. posting_lists() makes such lists to be
+kept, and candidates() intersects them, for rules that come later and are to read their candidates only. Matches carry
+code-point offsets, which come from the lengths of the pieces between matches, so all of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from re import _parser as parser  # type: ignore[attr-defined]
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairgraph.llm.common import text_of
+from pairgraph.llm.common import let, running, text_of
 
 
 @dataclass(frozen=True)
@@ -126,90 +127,98 @@ def _analyse_one(op, arg) -> tuple[frozenset[str] | None, Query]:
 def spans_of(text: Column, rule: Rule) -> Column:
     """Leftmost matches of a rule that do not overlap: array of structs (start, end), code points, end exclusive."""
     pattern = rule.pattern
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def located(m: Column) -> Column:
         gaps = F.split(text, pattern, -1)
-        groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
+        groups = m if rule.group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
         steps = F.arrays_zip(
             F.transform(F.slice(gaps, 1, F.size(m)), F.length).alias("gap"),
             F.transform(m, F.length).alias("own"),
             F.transform(groups, F.length).alias("part"),
         )
-        start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT, part: INT>>)").alias("out"))
-        walked = F.aggregate(
-            steps,
-            start,
-            lambda acc, x: F.struct(
-                (acc["at"] + x["gap"] + x["own"]).alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + x["gap"]).alias("start"),
-                            (acc["at"] + x["gap"] + x["own"]).alias("end"),
-                            x["part"].alias("part"),
-                        )
-                    ),
-                ).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-        kept = F.filter(walked, lambda s: s["part"] >= rule.least)
-        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+        def placed(s: Column) -> Column:
+            before = running(F.transform(s, lambda x: x["gap"] + x["own"]), lambda a, b: a + b, F.lit(0))
+            spans = F.zip_with(
+                before,
+                s,
+                lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["own"]).alias("end"), x["part"].alias("part")),
+            )
+            kept = F.filter(spans, lambda x: x["part"] >= rule.least)
+            return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+        return let(steps, placed)
 
     none = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT>>)")
-    return F.transform(F.array(found), lambda m: F.when(F.size(m) > 0, located(m)).otherwise(none))[0]
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, located(m)).otherwise(none))
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...], *, id_col: str, text_col: str) -> DataFrame:
-    """(doc, rules): the names of the rules whose trigram query the document meets, from the inverted index.
+def meets(query: Query, has) -> Column:
+    """Whether the query holds, where has(trigram) says that a trigram occurs."""
+    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [has(t) for t in sorted(alternative)]) for alternative in sorted(query, key=sorted)])
 
-    Postings hold only trigrams that some rule asks for. Rows that share an id are one entry, which meets the
-    queries that their texts meet together; verification then decides row by row.
-    """
-    queries = {r.name: q for r in rules if (q := trigram_query(r.pattern)) != ANY}
-    vocabulary = sorted(set().union(*[t for q in queries.values() for t in q])) if queries else []
-    lower = F.lower(text_of(text_col))
-    present = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary)] or [F.lit(None).cast("int")]))
-    postings = docs.select(F.col(id_col).alias("doc"), lower.alias("low")).select("doc", F.explode(present).alias("trigram"))
-    listed = postings.groupBy("doc").agg(F.collect_set("trigram").alias("trigrams"))
-    number = {t: i for i, t in enumerate(vocabulary)}
-
-    def met(query: Query) -> Column:
-        return reduce(
-            lambda a, b: a | b,
-            [
-                reduce(lambda a, b: a & b, [F.array_contains("trigrams", number[t]) for t in sorted(alternative)])
-                for alternative in sorted(query, key=sorted)
-            ],
-        )
 
-    names = F.array_compact(F.array(*[F.when(met(q), F.lit(n)) for n, q in queries.items()] or [F.lit(None).cast("string")]))
-    return listed.select("doc", names.alias("rules")).where(F.size("rules") > 0)
+def _vocabulary(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted({t for r in rules if (q := trigram_query(r.pattern)) != ANY for alternative in q for t in alternative})
 
 
-def _scanned(docs: DataFrame, rules: tuple[Rule, ...], *, id_col: str, text_col: str) -> DataFrame:
-    """(row, spans): each row of docs as a struct, with sorted structs (start, kind_no, end, kind)."""
-    index = candidates(docs, rules, id_col=id_col, text_col=text_col)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("key"))
-    joined = held.join(index, held["key"].eqNullSafe(index["doc"]), "left")
+def posting_lists(docs: DataFrame, rules: tuple[Rule, ...], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(trigram, doc): the documents of each trigram that some of the rules ask for, to be kept by trigram.
+
+    Rows that share an id are one document. Null and empty texts are in no list.
+    """
+    low = docs.select(F.col(id_col).alias("doc"), F.lower(text_of(text_col)).alias("low"))
+    found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in _vocabulary(rules)] or [F.lit(None).cast("string")]))
+    return low.select(F.explode(found).alias("trigram"), "doc").distinct()
+
+
+def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(rule, doc): the documents that meet the query of each rule with mandatory trigrams, by intersecting their lists."""
+    asked = [
+        (r.name, no, t, len(alternative))
+        for r in rules
+        if (q := trigram_query(r.pattern)) != ANY
+        for no, alternative in enumerate(sorted(q, key=sorted))
+        for t in alternative
+    ]
+    lists = postings.sparkSession.createDataFrame(asked, "rule string, alternative int, trigram string, size int")
+    met = postings.join(F.broadcast(lists), "trigram").groupBy("rule", "alternative", "doc", "size").agg(F.count_distinct("trigram").alias("n"))
+    return met.where("n = size").select("rule", "doc").distinct()
+
+
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], *, text_col: str) -> DataFrame:
+    """(row, hits): each row of docs as a struct, with sorted structs (start, kind_no, end, kind)."""
     text = text_of(F.col("row")[text_col])
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, kind_no: INT, end: INT, kind: STRING>>)")
 
     def marked(no: int, rule: Rule) -> Column:
-        spans = spans_of(text, rule)
-        if trigram_query(rule.pattern) != ANY:
-            spans = F.when(F.array_contains("rules", rule.name), spans)
         with_kind = F.transform(
-            spans,
-            lambda s: F.struct(
-                s["start"].alias("start"), F.lit(no).alias("kind_no"), s["end"].alias("end"), F.lit(rule.name).alias("kind")
-            ),
+            spans_of(text, rule),
+            lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), s["end"].alias("end"), F.lit(rule.name).alias("kind")),
         )
-        return F.coalesce(with_kind, F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, kind_no: INT, end: INT, kind: STRING>>)"))
+        query = trigram_query(rule.pattern)
+        return with_kind if query == ANY else F.when(meets(query, lambda t: F.contains(F.lower(text), F.lit(t))), with_kind).otherwise(none)
+
+    # a generated column is worked out once, whatever is made of it
+    every = F.array_sort(F.concat(*[marked(no, rule) for no, rule in enumerate(rules)]))
+    return held.select("row", F.explode(F.array(every)).alias("hits"))
+
+
+CHUNK = 1024
 
-    kinds = [marked(no, rule) for no, rule in enumerate(rules)]
-    return joined.select("row", F.array_sort(F.concat(*kinds)).alias("spans"))
+
+def _pieces(text: Column, spans: Column) -> Column:
+    """The part of the text in each of the spans (structs of start and end), in time linear in the text."""
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def part(c: Column, s: Column) -> Column:
+        start, end = s["start"], s["end"]
+        first, last = F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+        joined = F.array_join(F.slice(c, first + 1, last - first + 1), "")
+        return F.when(end <= start, "").otherwise(F.substring(joined, start - first * CHUNK + 1, end - start))
+
+    return let(chunks, lambda c: F.transform(spans, lambda s: part(c, s)))
 
 
 def _written(spans: Column) -> Column:
@@ -228,26 +237,22 @@ def scan_secrets(
     """
     rules = BASE_RULES + tuple(more_rules)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = _scanned(narrow, rules, id_col="id", text_col="text")
-    base = F.filter("spans", lambda s: s["kind_no"] < len(BASE_RULES))
+    found = _scanned(narrow, rules, text_col="text")
+    base = F.filter("hits", lambda s: s["kind_no"] < len(BASE_RULES))
     text = text_of(F.col("row")["text"])
 
     def count(no: int) -> Column:
-        return F.size(F.filter("spans", lambda s: s["kind_no"] == no)).cast("long")
+        return F.size(F.filter("hits", lambda s: s["kind_no"] == no)).cast("long")
 
     return found.select(
         F.col("row")["id"].alias(id_col),
         *[count(no).alias(f"n_{r.name}") for no, r in enumerate(BASE_RULES)],
         F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"),
-        _written(F.col("spans")).alias("spans"),
-        F.transform(
-            "spans",
-            lambda s: F.struct(
-                s["kind"].alias("kind"),
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("found"),
-            ),
+        _written(F.col("hits")).alias("spans"),
+        F.zip_with(
+            "hits",
+            F.when(F.size("hits") > 0, _pieces(text, F.col("hits"))).otherwise(F.array().cast("array<string>")),
+            lambda s, found: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), found.alias("found")),
         ).alias("secrets"),
     )
 
@@ -260,22 +265,41 @@ def redact_secrets(
     Rows without a span come back unchanged, a null text as null.
     """
     rules = BASE_RULES + tuple(more_rules)
-    found = _scanned(docs, rules, id_col=id_col, text_col=text_col)
+    found = _scanned(docs, rules, text_col=text_col)
     text = F.col("row")[text_col]
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    walked = F.aggregate(
-        "spans",
-        start,
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"),
+
+    def between(merged: Column) -> Column:
+        """The spans outside the merged ones."""
+        return F.transform(
+            F.sequence(F.lit(0), F.size(merged)),
+            lambda i: F.struct(
+                F.when(i > 0, F.get(merged, i - 1)["end"]).otherwise(0).alias("start"),
+                F.when(i < F.size(merged), F.get(merged, i)["start"]).otherwise(F.length(text)).alias("end"),
             ),
-        ).otherwise(F.struct(F.greatest(s["end"], acc["at"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    clean = F.when(text.isNull() | (F.size("spans") == 0), text).otherwise(walked)
+        )
+
+    clean = let(let(_merged(F.col("hits")), between), lambda outside: F.array_join(_pieces(text, outside), mark))
+    clean = F.when(text.isNull() | (F.size("hits") == 0), text).otherwise(clean)
     return found.withColumn("clean", clean).select(
         *[F.col("clean").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     )
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans with those that overlap made one."""
+    ends = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+
+    def joined(before: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: spans[i]["start"] >= before[i])
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return let(
+            heads,
+            lambda h: F.transform(
+                h,
+                lambda i, k: F.struct(
+                    spans[i]["start"].alias("start"), F.when(k + 1 < F.size(h), before[F.get(h, k + 1)]).otherwise(last).alias("end")
+                ),
+            ),
+        )
+
+    return let(ends, joined)

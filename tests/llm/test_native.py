@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 
@@ -27,6 +28,7 @@ TEXTS = [
     " ".join(f"w{i}" for i in range(3000)),
     "  nbsp is a word char",
     " ".join(f"w{i}" for i in range(60)) + " tail w1 w2 w3 tail",
+    " ".join(f"w{i * i % 1009}" for i in range(4000)) + "\n" + "a b " * 50,
 ]
 
 
@@ -39,9 +41,9 @@ def base_of(text):
             dup += line in seen
             seen.add(line)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    covered = set()
+    covered, often = set(), Counter(windows)
     for i, w in enumerate(windows):
-        if windows.count(w) > 1 if len(windows) < 500 else False:
+        if often[w] > 1:
             covered |= {i, i + 1, i + 2}
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
 
@@ -126,16 +128,48 @@ def test_trigram_queries():
     assert secret_scan.trigram_query("(?:ab){2}|cdef") == {frozenset({"aba", "bab"}), frozenset({"cde", "def"})}
 
 
+def redacted(text):
+    out, at = "", 0
+    for start, _, _, end in spans_by_hand(text):
+        if start >= at:
+            out += text[at:start] + "[SECRET]"
+        at = max(at, end) if start >= at or end > at else at
+    return None if text is None else out + text[at:]
+
+
+def full_of_hits(n):
+    return " ".join(f"é{i} {i:024x}" + (" token=abc" + "0123456789abcdef" * 2 if i % 3 == 0 else "") for i in range(n))
+
+
 def test_redaction(spark):
-    docs = frame(spark, SECRETS)
-    out = secret_scan.redact_secrets(docs)
+    texts = [*SECRETS, "token=" + "0123456789abcdef" * 3 + " x " + "f" * 24 + "AKIA" + "f" * 40, full_of_hits(3000), "secret: aaaaaaa" + "y" * 5000 + "e" * 24]
+    docs = frame(spark, texts)
+    out = secret_scan.redact_secrets(docs, more_rules=())
     assert out.columns == docs.columns
-    for r in out.collect():
-        t = SECRETS[r["doc_id"]]
-        if not spans_by_hand(t):
-            assert r["text"] == t
-        else:
-            assert "[SECRET]" in r["text"] and "0123456789abcdef0123456789abcdef" not in r["text"]
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: redacted(t) for i, t in enumerate(texts)}
+
+
+def test_a_text_full_of_secrets(spark):
+    text = full_of_hits(32000)
+    docs = frame(spark, [text])
+    got = secret_scan.scan_secrets(docs).collect()[0]
+    want = spans_by_hand(text)
+    assert got["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
+    assert [s["found"] for s in got["secrets"]] == [text[a:b] for a, _, _, b in want]
+    assert secret_scan.redact_secrets(docs).collect()[0]["text"] == redacted(text)
+
+
+def test_posting_lists_lead_to_the_same_documents(spark):
+    rules = secret_scan.BASE_RULES + secret_scan.MORE_RULES
+    texts = [*SECRETS, "pas swo ord", "xoxb-1234567890abc sk_live_0123456789abcdef", "sk_ _li ive", "ghp_" + "a" * 36, "secrets tokens"]
+    postings = secret_scan.posting_lists(frame(spark, texts), rules)
+    got = {(r["rule"], r["doc"]) for r in secret_scan.candidates(postings, rules).collect()}
+    want = set()
+    for r in rules:
+        query = secret_scan.trigram_query(r.pattern)
+        if query != secret_scan.ANY:
+            want |= {(r.name, i) for i, t in enumerate(texts) if any(all(x in (t or "").lower() for x in a) for a in query)}
+    assert got == want and ("slack", len(SECRETS) + 1) in got and ("assign", len(SECRETS)) not in got
 
 
 def targets_by_hand(sizes):
