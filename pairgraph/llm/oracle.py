@@ -40,7 +40,7 @@ OP5 = r"""
 WITH pg AS (
   SELECT page_id, url, DATE '2024-01-01' + (page_id * 37 % 700)::INT AS fetched,
     regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS host,
-    coalesce(nullif(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path
+    coalesce(nullif(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path, CASE WHEN path LIKE '%/' THEN path ELSE path || '/' END AS folder
   FROM pages),
 hosts AS (SELECT host, ('0x' || substr(md5(host), 1, 6))::INT AS n FROM (SELECT DISTINCT host FROM pg WHERE host <> '')),
 urls AS (SELECT u, ('0x' || substr(md5(u), 1, 6))::INT AS n FROM (SELECT DISTINCT host || path AS u FROM pg WHERE host <> '')),
@@ -55,7 +55,7 @@ spans AS (SELECT *, coalesce(lead(since) OVER (PARTITION BY list, key ORDER BY s
 keyed AS (
   SELECT page_id, fetched, unnest(list_distinct(
       list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'host:' || array_to_string(string_split(host, '.')[i:], '.'))
-      || list_transform(range(1, len(string_split(path, '/'))), lambda i: 'prefix:' || host || array_to_string(string_split(path, '/')[1:i], '/') || '/')
+      || list_transform(range(1, len(string_split(folder, '/'))), lambda i: 'prefix:' || host || array_to_string(string_split(folder, '/')[1:i], '/') || '/')
       || ['url:' || host || path])) AS key
   FROM pg WHERE host <> ''),
 hits AS (

@@ -1,11 +1,12 @@
 """URL filters whose lists change over time.
 
 A list is a table of dated entries (list, kind, value, action, since): a host, a URL prefix or a whole URL is
-added to a list or taken off it on a day. Entries become validity intervals, [since, next entry of the same key).
-Every capture is then joined as of its fetch time: its URL gives keys (the host and the domains above it, the
-URL, the prefixes that end at a slash), each key meets the intervals of that key, and those that hold the fetch
-time decide. Intervals are spread over the months they touch and captures ask for their month only, so a long
-history doesn't multiply rows; equal (key, time) pairs are asked once. DataFrame expressions throughout.
+added to a list or taken off it at a time. Entries become validity intervals, [since, next entry of the same key),
+and the intervals of a key are one row. URLs give keys (the host and the domains above it, the URL, the folders above
+it); keys of hosts and of folders are formed once for each host and folder, and those that no list holds are dropped before
+anything is gathered by URL. Every capture then meets the intervals of its URL's keys, and those that hold its fetch time
+decide. No row is multiplied by time, and no side of a join is chosen by size: what is joined grows with the data
+on both sides. DataFrame expressions throughout.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 
 from pairgraph.plans.store import materialize
 
-FOREVER = "9999-12-31"
-
 
 @dataclass(frozen=True)
 class Lists:
@@ -26,7 +25,6 @@ class Lists:
 
     block: tuple[str, ...] = ("spam", "adult")
     allow: tuple[str, ...] = ("allow",)
-    most_prefixes: int = 16
 
 
 def host_of(url: Column) -> Column:
@@ -42,50 +40,50 @@ def path_of(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
-def url_keys(url: Column) -> Column:
-    """Array of the keys under which lists may hold the URL: host:..., prefix:... and url:...
+def query_of(url: Column) -> Column:
+    """The query with its question mark; empty where there is none."""
+    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*(\?[^#]*)", 1)
 
-    Every domain above the host and every path prefix that ends at a slash is a key.
-    """
-    host, path = host_of(url), path_of(url)
+
+def host_keys(host: Column) -> Column:
+    """host: keys of the host and of every domain above it."""
     labels = F.split(host, r"\.")
-    parts = F.split(path, "/")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    folders = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda i: F.concat(F.lit("prefix:"), host, F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")),
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+
+
+def folder_of(path: Column) -> Column:
+    """The path as a folder, ending at a slash."""
+    return F.when(F.endswith(path, F.lit("/")), path).otherwise(F.concat(path, F.lit("/")))
+
+
+def folder_keys(host: Column, folder: Column) -> Column:
+    """prefix: keys of every folder from the root to this one."""
+    parts = F.split(folder, "/")
+    return F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.lit("prefix:"), host, F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))
     )
-    keys = F.concat(hosts, folders, F.array(F.concat(F.lit("url:"), host, path)))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(keys))
 
 
 def entry_key(kind: Column, value: Column) -> Column:
-    """The key of an entry; kind is host, prefix or url; values of the latter two start with the host."""
-    return F.concat(kind, F.lit(":"), F.when(kind == "host", F.lower(value)).otherwise(value))
+    """The key of an entry; kind is host, prefix or url. A value is brought to the form of captures: with or without
+    scheme, any case of the host, port and user dropped, a prefix ending at a slash. An entry of kind url with a
+    query means that query only, and without one any."""
+    url = F.when(F.rlike(value, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), value).otherwise(F.concat(F.lit("http://"), value))
+    rest = F.when(kind == "host", "").when(kind == "prefix", folder_of(path_of(url))).otherwise(F.concat(path_of(url), query_of(url)))
+    return F.concat(kind, F.lit(":"), host_of(url), rest)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """(list, key, start, end): when a key is on a list, end exclusive.
+    """(list, key, start, end): when a key is on a list, timestamps, end exclusive and null while it lasts.
 
-    Of entries of one list and key on the same day the last in the order add, remove counts; entries with a
-    null in any of their columns, or another action than add or remove, are ignored.
+    Of entries of one list and key at the same time a removal counts last; entries with a null in any of their
+    columns, or another kind or action, are ignored.
     """
-    known = entries.select("list", entry_key(F.col("kind"), F.col("value")).alias("key"), "action", F.col("since").cast("date").alias("since"))
-    daily = (
-        known.where(F.col("action").isin("add", "remove") & F.col("key").isNotNull() & F.col("list").isNotNull() & F.col("since").isNotNull())
-        .groupBy("list", "key", "since")
-        .agg(F.max("action").alias("action"))
-    )
+    known = entries.select("list", entry_key(F.col("kind"), F.col("value")).alias("key"), "kind", "action", F.col("since").cast("timestamp").alias("since"))
+    known = known.where(F.col("kind").isin("host", "prefix", "url") & F.col("action").isin("add", "remove") & F.col("key").isNotNull())
+    once = known.where("list IS NOT NULL AND since IS NOT NULL").groupBy("list", "key", "since").agg(F.max("action").alias("action"))
     after = Window.partitionBy("list", "key").orderBy("since")
-    return (
-        daily.withColumn("end", F.coalesce(F.lead("since").over(after), F.to_date(F.lit(FOREVER))))
-        .where("action = 'add'")
-        .select("list", "key", F.col("since").alias("start"), "end")
-    )
-
-
-def _month(day: Column) -> Column:
-    return (F.year(day) * 12 + F.month(day)).cast("int")
+    return once.withColumn("end", F.lead("since").over(after)).where("action = 'add'").select("list", "key", F.col("since").alias("start"), "end")
 
 
 def filter_urls(
@@ -97,7 +95,7 @@ def filter_urls(
     time_col: str = "fetched",
     lists: Lists = Lists(),
 ) -> DataFrame:
-    """Per row of captures: the id, host, fetched (a date), hits and kept.
+    """Per row of captures: the id, host, fetched (as it came), hits and kept.
 
     hits lists list=key of all entries active when the page was fetched, sorted and comma-joined; kept is false
     if a blocking list hits and no allowing one does. Null URLs, URLs without a host and null fetch times hit
@@ -105,27 +103,41 @@ def filter_urls(
     entries all are kept; an empty table gives no rows; extra columns are ignored.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
-    rows = captures.select(F.col(id_col).alias("id"), url.alias("url"), F.col(time_col).cast("date").alias("fetched"))
-    asked = rows.select("url", "fetched").where("fetched IS NOT NULL").distinct()
-    keyed = asked.select("url", "fetched", F.explode(url_keys(F.col("url"))).alias("key"), _month(F.col("fetched")).alias("month"))
-    spread = intervals(entries).select("list", "key", "start", "end")
-    last = F.lit(rows.agg(F.max("fetched")).first()[0]).cast("date")
-    spread = spread.where(F.col("start") <= last).withColumn(
-        "month", F.explode(F.sequence(_month(F.col("start")), _month(F.least(F.date_sub("end", 1), last))))
-    )
-    spread = materialize(spread, "url-intervals")
-    hit = keyed.join(spread, ["key", "month"]).where("start <= fetched AND fetched < end")
-    name = F.concat_ws("=", "list", "key")
-    found = hit.groupBy("url", "fetched").agg(
-        F.array_sort(F.collect_set(name)).alias("names"),
-        F.coalesce(F.bool_or(F.col("list").isin(*lists.block)), F.lit(False)).alias("blocked"),
-        F.coalesce(F.bool_or(F.col("list").isin(*lists.allow)), F.lit(False)).alias("allowed"),
+    rows = captures.select(F.col(id_col).alias("id"), url.alias("url"), F.col(time_col).alias("fetched"))
+    span = F.struct("list", "start", "end")
+    listed = materialize(intervals(entries).groupBy("key").agg(F.collect_list(span).alias("spans")), "url-intervals")
+    keys = listed.select("key")
+
+    def held(places: DataFrame, made: Column) -> DataFrame:
+        """The places with those of their keys that some list holds."""
+        by = places.columns
+        each = places.distinct().select(*by, F.explode(made).alias("key"))
+        return each.join(keys.hint("merge"), "key").groupBy(by).agg(F.collect_set("key").alias("keys"))
+
+    urls = materialize(rows.select("url").distinct().withColumn("host", host_of(F.col("url"))).where("host <> ''"), "url-distinct")
+    at = urls.withColumn("path", path_of(F.col("url")))
+    whole = F.concat(F.lit("url:"), "host", "path")
+    by_host = held(at.select("host"), host_keys(F.col("host")))
+    by_folder = held(at.select("host", folder_of(F.col("path")).alias("folder")), folder_keys(F.col("host"), F.col("folder")))
+    own = at.select("url", F.explode(F.array_distinct(F.array(whole, F.concat(whole, query_of(F.col("url")))))).alias("key"))
+    found = (
+        own.join(keys.hint("merge"), "key").select("url", "key")
+        .unionByName(at.select("url", "host").join(by_host.hint("merge"), "host").select("url", F.explode("keys").alias("key")))
+        .unionByName(
+            at.select("url", "host", folder_of(F.col("path")).alias("folder")).join(by_folder.hint("merge"), ["host", "folder"]).select("url", F.explode("keys").alias("key"))
+        )
     )
-    found = materialize(found, "url-hits")
-    return rows.join(found, ["url", "fetched"], "left").select(
+    each = found.join(listed.hint("merge"), "key").select("url", F.explode(F.transform("spans", lambda s: F.struct(s.alias("s"), F.concat_ws("=", s["list"], "key").alias("name")))).alias("hit"))
+    history = materialize(each.groupBy("url").agg(F.collect_list("hit").alias("history")), "url-history")
+
+    when = F.col("fetched").cast("timestamp")
+    active = F.filter("history", lambda h: (h["s"]["start"] <= when) & (h["s"]["end"].isNull() | (when < h["s"]["end"])))
+    joined = rows.join(history.hint("merge"), "url", "left").withColumn("active", F.coalesce(active, F.slice("history", 1, 0)))
+    on = lambda names: F.exists("active", lambda h: h["s"]["list"].isin(*names))
+    return joined.select(
         F.col("id").alias(id_col),
         host_of(F.col("url")).alias("host"),
         "fetched",
-        F.coalesce(F.array_join("names", ","), F.lit("")).alias("hits"),
-        F.coalesce(~F.col("blocked") | F.col("allowed"), F.lit(True)).alias("kept"),
+        F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform("active", lambda h: h["name"]))), ","), F.lit("")).alias("hits"),
+        F.coalesce(~on(lists.block) | on(lists.allow), F.lit(True)).alias("kept"),
     )
