@@ -105,7 +105,7 @@ v AS (SELECT *, CASE WHEN n_words < 50 THEN -1 WHEN n_words >= 80 THEN 1 ELSE 0
   CASE WHEN n_dup_lines * 10 > 3 * n_lines THEN -1 ELSE 0 END AS v5,
   CASE WHEN n_repeat_words * 10 > 3 * n_words THEN -1 ELSE 0 END AS v6,
   CASE WHEN n_capitals * 10 > 3 * word_chars THEN -1 ELSE 0 END AS v7 FROM f),
-patterns AS MATERIALIZED (SELECT v1, v2, v3, v4, v5, v6, v7, count(*) AS n FROM v WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) GROUP BY ALL),
+patterns AS MATERIALIZED (SELECT v1, v2, v3, v4, v5, v6, v7, count(*) AS n FROM v GROUP BY ALL),
 {em_sql()},
 p AS (SELECT v.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {posterior_sql()} AS p FROM v, m20)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS posterior,

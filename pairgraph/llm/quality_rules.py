@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,26 +45,19 @@ def base_features(text: Column) -> Column:
     """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals (all long).
 
     n_repeat_words counts words within a window of three that occurs twice or more in the text. Windows are
-    64-bit hashes, sorted together with their positions; neighbours that are equal mark their positions, and
-    the words covered by marked windows are counted from the gaps between sorted positions.
+    64-bit hashes; their leading bits are sorted with their positions in the trailing ones, neighbours near each other
+    whose whole hashes are equal mark their positions, and the words covered by marked windows are counted from the gaps
+    between these.
     """
     words = words_of(text)
 
     def from_words(w: Column) -> Column:
         n = F.size(w)
-        windows = F.when(
-            n >= 4,
-            F.array_sort(
-                F.transform(
-                    F.sequence(F.lit(0), n - 3),
-                    lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("p")),
-                )
-            ),
-        )
+        hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
         return F.struct(
             n.cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            let(windows, _covered).alias("n_repeat_words"),
+            F.when(n >= 4, let(hashes, _covered)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         )
 
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(WORD)))
@@ -90,27 +83,27 @@ def base_features(text: Column) -> Column:
     )
 
 
-def _covered(windows: Column) -> Column:
-    """Words covered by windows of equal hash; windows: sorted structs (h, p), or null."""
-    n = F.size(windows)
-    marked = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: ((i > 0) & (F.get(windows, i - 1)["h"] == windows[i]["h"]))
-        | ((i < n - 1) & (F.get(windows, i + 1)["h"] == windows[i]["h"])),
-    )
-    places = let(marked, lambda m: F.array_sort(F.transform(m, lambda i: windows[i]["p"])))
-    return F.when(windows.isNull(), F.lit(0)).otherwise(
-        let(
-            places,
-            lambda p: F.when(F.size(p) == 0, F.lit(0)).otherwise(
-                F.aggregate(
-                    F.sequence(F.lit(1), F.size(p)),
-                    F.lit(0),
-                    lambda total, i: total + F.when(i == F.size(p), 3).otherwise(F.least(F.lit(3), F.get(p, i) - p[i - 1])),
-                )
-            ),
-        )
-    ).cast("long")
+def _covered(hashes: Column) -> Column:
+    """Words covered by windows of equal hash."""
+    n = F.size(hashes)
+
+    def with_mask(mask: Column) -> Column:
+        """mask: ones where the position stands."""
+        packed = F.sort_array(F.transform(hashes, lambda h, i: F.shiftrightunsigned(h, 1).bitwiseAND(-1 - mask).bitwiseOR(i.cast("long"))))
+
+        def places(s: Column) -> Column:
+            at = lambda i: s[i].bitwiseAND(mask).cast("int")
+            near = F.filter(F.sequence(F.lit(1), n - 1), lambda i: s[i] - s[i - 1] <= mask)
+            equal = F.filter(near, lambda i: hashes[at(i)] == hashes[at(i - 1)])
+            return F.sort_array(F.array_distinct(F.concat(F.transform(equal, at), F.transform(equal, lambda i: at(i - 1)))))
+
+        return let(packed, places)
+
+    def counted(p: Column) -> Column:
+        steps = F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), F.lit(3), lambda total, i: total + F.least(F.lit(3), p[i] - p[i - 1]))
+        return F.when(F.size(p) < 2, F.lit(0)).otherwise(steps)
+
+    return let(let(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n))) - 1, with_mask), counted)
 
 
 def rule_votes(f: Column) -> list[Column]:
@@ -187,10 +180,9 @@ def score_quality(
     whatever the posterior. A null text counts as empty and so fails; null ids and equal rows are kept apart
     and returned as they came; an empty table gives no rows; extra columns are ignored.
     """
-    features = docs.select(F.col(id_col).alias("id"), F.explode(F.array(base_features(text_of(text_col)))).alias("f"))
-    voted = materialize(_voted(features), "quality-votes")  # texts are read once
-    model = fit_rules(_counts(voted), rounds=rounds)
-    return _decided(docs.sparkSession, voted, model, threshold).select(
+    voted = materialize(votes_of(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))).drop("text"), "quality-votes")  # texts are read once
+    model = fit_rules(pattern_counts(voted), rounds=rounds)
+    return _decided(voted, model, threshold).select(
         F.col("id").alias(id_col),
         *[F.col("f")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         "base_failed",
@@ -201,36 +193,45 @@ def score_quality(
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5, rounds: int = 20) -> DataFrame:
-    """The rows of docs that are kept, with their own columns only."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    # a generated column is worked out once, where a projected one would be again for each filter that is pushed down
-    features = held.select("row", F.explode(F.array(base_features(text_of(F.col("row")[text_col])))).alias("f"))
-    voted = _voted(features)  # read twice: writing whole texts would cost more disk than this costs time
-    model = fit_rules(_counts(voted), rounds=rounds)
-    return _decided(docs.sparkSession, voted, model, threshold).where("kept").select("row.*")
+    """The rows of docs that are kept, with their own columns only.
+
+    Rows are written to the shared folder with their votes, those that the base rules reject with the votes alone, so
+    that texts are measured once.
+    """
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of(text_col).alias("text"))
+    voted = votes_of(held).withColumn("base_failed", base_failed())
+    written = materialize(voted.select(F.when(~F.col("base_failed"), F.col("row")).alias("row"), "pattern", "base_failed"), "quality-rows")
+    model = fit_rules(pattern_counts(written), rounds=rounds)
+    return written.where(~F.col("base_failed") & (posterior_of(F.col("pattern"), model) >= threshold)).select("row.*")
 
 
-def _voted(features: DataFrame) -> DataFrame:
+def votes_of(rows: DataFrame) -> DataFrame:
+    """rows with f (the features of their column text), votes and pattern (the votes as one number)."""
+    # a generated column is worked out once, where a projected one would be again for each use
+    features = rows.withColumn("f", F.explode(F.array(base_features(F.col("text")))))
     return features.withColumn("votes", F.array(*rule_votes(F.col("f")))).withColumn(
         "pattern", _pattern([F.col("votes")[i] for i in range(len(RULES))])
     )
 
 
-def _counts(voted: DataFrame) -> list[tuple[tuple[int, ...], int]]:
-    """At most 3^7 rows, in a fixed order. Documents that the base rules reject say nothing of the others."""
-    found = voted.where(~_base_failed()).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
+def pattern_counts(voted: DataFrame) -> list[tuple[tuple[int, ...], int]]:
+    """How many documents vote in each way: at most 3^7 rows, in a fixed order."""
+    found = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
     return [(_votes_of(r["pattern"]), r["n"]) for r in sorted(found, key=lambda r: r["pattern"])]
 
 
-def _base_failed() -> Column:
+def base_failed() -> Column:
     return (F.col("f")["n_words"] < 50) | (100 * F.col("f")["n_repeat_words"] > 50 * F.col("f")["n_words"])
 
 
-def _decided(spark: SparkSession, voted: DataFrame, model: RuleModel, threshold: float) -> DataFrame:
+def posterior_of(pattern: Column, model: RuleModel) -> Column:
     posteriors = [float(model.posterior(_votes_of(code))) for code in range(3 ** len(RULES))]
-    known = F.element_at(F.lit(posteriors).cast(T.ArrayType(T.DoubleType())), F.col("pattern") + 1)
+    return F.element_at(F.lit(posteriors).cast(T.ArrayType(T.DoubleType())), pattern + 1)
+
+
+def _decided(voted: DataFrame, model: RuleModel, threshold: float) -> DataFrame:
     return (
-        voted.withColumn("posterior", known)
-        .withColumn("base_failed", _base_failed())
+        voted.withColumn("posterior", posterior_of(F.col("pattern"), model))
+        .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
     )
