@@ -25,10 +25,6 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def n_words_of(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD)).cast("long")
-
-
 def let(value: Column, body) -> Column:
     """body(value), with the value worked out once."""
     return F.transform(F.array(value), body)[0]

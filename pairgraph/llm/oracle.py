@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 TARGETS = """
-sized AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT source, source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w,
@@ -19,23 +18,6 @@ shared AS (SELECT level FROM levels WHERE cap > level * w ORDER BY place LIMIT 1
 targets AS (SELECT source, source_size, coalesce(least(cap, (SELECT level FROM shared) * w), cap) AS target FROM levels)
 """
 
-OP3 = f"""
-WITH {TARGETS},
-keyed AS (
-  SELECT doc_id, s.source, size, source_size, target, round(target)::BIGINT AS whole,
-    -ln((('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
-      / ((size + 1.0::DOUBLE) / (size + 1.0::DOUBLE + (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g'))))) AS k
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-placed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS first,
-    CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS epochs
-  FROM keyed)
-SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, whole - epochs * source_size - first)))::BIGINT AS taken,
-  source, epochs::BIGINT AS epochs
-FROM placed
-"""
-
-
 OP5 = r"""
 WITH pg AS (
   SELECT page_id, url, DATE '2024-01-01' + (page_id * 37 % 700)::INT AS fetched,
@@ -90,8 +72,9 @@ def posterior_sql(n_rules: int = 7) -> str:
     return f"1 / (1 + exp(least(700.0, (ln(1 - prior) + {bad}) - (ln(prior) + {good}))))"
 
 
-OP2 = f"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+#: From documents to p, their features, votes and posterior.
+QUALITY = f"""
+d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT k, doc_id, t, {WORDS.format(t="t")} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
 win AS (SELECT k, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 rep AS (SELECT k, count(DISTINCT i + s)::BIGINT AS n FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM win), range(0, 3) o(s) WHERE c > 1 GROUP BY k),
@@ -108,10 +91,32 @@ v AS (SELECT *, CASE WHEN n_words < 50 THEN -1 WHEN n_words >= 80 THEN 1 ELSE 0
 patterns AS MATERIALIZED (SELECT v1, v2, v3, v4, v5, v6, v7, count(*) AS n FROM v GROUP BY ALL),
 {em_sql()},
 p AS (SELECT v.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {posterior_sql()} AS p FROM v, m20)
+"""
+
+OP2 = f"""
+WITH {QUALITY}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS posterior,
   v1 AS vote_length, v2 AS vote_symbols, v3 AS vote_symbol_share, v4 AS vote_word_length, v5 AS vote_line_repeats, v6 AS vote_word_repeats, v7 AS vote_capitals FROM p
 """
 
+OP3 = f"""
+WITH {QUALITY},
+sized AS (SELECT d.doc_id, source, n_words AS size, greatest(round(p, 6), 0.01::DOUBLE) AS weight FROM p JOIN d USING (k)),
+{TARGETS},
+keyed AS (
+  SELECT doc_id, s.source, size, source_size, target, round(target)::BIGINT AS whole,
+    -ln((('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / weight AS k
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS first,
+    CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS epochs
+  FROM keyed)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, whole - epochs * source_size - first)))::BIGINT AS taken,
+  source, epochs::BIGINT AS epochs
+FROM placed
+"""
+
+
 OP4 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(t="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM w WHERE len(w) > 0)),

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairgraph.llm import mixing, quality_rules, secret_scan
 
@@ -211,6 +212,33 @@ def test_mixing(spark):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def test_mixing_carries_clashing_names(spark):
+    names = ["size", "Target", "taken", "source_size", "epochs", "sample_key", "row_no", "bucket", "size_in", "carried", "t_source"]
+    docs = frame(spark, ["a b c", None, "d e"], ["s", None, "t"]).select("doc_id", "text", "source", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    out = mixing.mix_sources(docs, carry=[c for c in docs.columns if c not in ("doc_id", "source")])
+    assert len({c.lower() for c in out.columns}) == len(out.columns) == len(names) + 9
+    for r in out.collect():
+        assert (r["size_in_in"], r["Target_in"], r["size_in"], r["row_no"], r["t_source"]) == (0, 1, 8, 6, 10)
+        assert r["size"] == {0: 3, 1: 0, 2: 2}[r["doc_id"]]
+
+
+def test_mixing_ties_and_long_texts(spark):
+    """Rows of one id and size differ in their text alone; the same ones are taken however they are dealt."""
+    texts = [f"x{i} y" for i in range(30)] + ["w " * 200_000]
+    docs = spark.createDataFrame([(7 if i < 30 else 8, t, "s" if i < 30 else "t") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    runs = [sorted((r["text"], r["taken"]) for r in mixing.mix_sources(docs.repartition(n), carry=["text"]).collect()) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_low_weights_come_last(spark):
+    """Documents that the rules hold bad have larger keys by their weight."""
+    good = " ".join(f"w{i}" for i in range(200)) + "."
+    bad = " ".join(f"w{i} #" for i in range(200))
+    docs = frame(spark, [good] * 200 + [bad] * 40)
+    keys = {r["doc_id"]: r["sample_key"] for r in mixing.mix_sources(docs).collect()}
+    assert sum(keys[i] for i in range(200, 240)) / 40 > 10 * sum(keys[i] for i in range(200)) / 200
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert quality_rules.score_quality(none).count() == 0
