@@ -70,10 +70,3 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(_BATCH, was)
-
-
-def keep_batches_small(spark: SparkSession, rows: int = 1000) -> None:
-    """Lower the session's Arrow batches to so many rows, for plans over whole texts that run later."""
-    was = int(spark.conf.get(_BATCH))
-    if was <= 0 or was > rows:
-        spark.conf.set(_BATCH, str(rows))

@@ -11,6 +11,30 @@ import pytest
 from pairgraph.llm import importance as im
 
 P = im.Importance(buckets=1000, share=0.6)
+M = 2**64
+
+
+def mixed(x):
+    x %= M
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD % M
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 % M
+    return x ^ x >> 33
+
+
+def hashed(words):
+    """A run of words as a number, word by word and byte by byte."""
+    total = len(words)
+    for j, w in enumerate(words):
+        own = sum((b + 1) * pow(0x9E3779B97F4A7C15 | 1, k, M) for k, b in enumerate(w.encode()))
+        total += mixed(own + len(w.encode()) * 0xA0761D6478BD642F) * (mixed((j + 1) * 0xD1B54A32D192ED03 + 11) | 1)
+    return mixed(total)
+
+
+def bag_of(text, n):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return Counter(hashed(x) % n for x in [[w] for w in words] + [list(x) for x in zip(words, words[1:], strict=False)])
 
 
 def make():
@@ -30,9 +54,7 @@ def test_against_dictionaries(spark):
     raw, wanted = Counter(), Counter()
     bags = []
     for i, text, _ in rows:
-        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
-        bag = Counter(im.buckets_of(text, P.buckets).tolist())
-        assert sum(bag.values()) == max(0, 2 * len(words) - 1)
+        bag = bag_of(text, P.buckets)
         bags.append(bag)
         raw += bag
         if i in target:
@@ -75,3 +97,21 @@ def test_edges(spark):
     assert [r["kept"] for r in out] == [True, True] and {r["log_weight"] for r in out} == {0.0}
     assert im.resample(docs.limit(0), none).count() == 0
     assert not any(r["kept"] for r in im.resample(docs, none, params=im.Importance(share=0.0)).collect())
+
+
+def test_ties_at_the_edge(spark):
+    """A repeated row that lies at the edge is sampled as often as there is room; a text of any length is weighed."""
+    docs = spark.createDataFrame([(1, "a b", "x")] * 200 + [(i, f"w{i}", "y") for i in range(2, 50)] + [(50, "a b " * 100_000, "z")], "doc_id long, text string, part string").repartition(6)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for share in (0.1, 0.5, 0.83, 1.0):
+        out = im.resample(docs, labels, params=im.Importance(share=share)).collect()
+        k = round(share * 249)
+        assert sum(r["kept"] for r in out) == k
+        low = min(r["sample_key"] for r in out if r["kept"])
+        assert all(r["kept"] for r in out if r["sample_key"] > low) and not any(r["kept"] for r in out if r["sample_key"] < low)
+
+
+def test_the_bitmap_loses_no_row(spark):
+    rows = spark.range(5000).selectExpr("id", "cast(id as string) AS text").union(spark.createDataFrame([(None, "x"), (3, "again")], "id long, text string"))
+    ids = spark.range(0, 6000, 3)
+    assert sorted(r["id"] for r in im.rows_with(rows, ids).collect()) == sorted([*range(0, 5000, 3), 3])
