@@ -14,7 +14,7 @@ from pairgraph.llm.mixing import mix_sources
 from pairgraph.llm.near_dup import drop_near_duplicates
 from pairgraph.llm.quality_rules import keep_good
 from pairgraph.llm.secret_scan import redact_secrets
-from pairgraph.plans.store import materialize
+from pairgraph.plans.store import discard, materialize, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with size, source_size, target, taken (words to take) and epochs."""
+    """The documents of the mix, with size, source_size, target, taken (words to take) and epochs.
+
+    Columns of documents that are named like one of these come back with _in behind their names.
+    """
     mixed = mix_sources(docs, carry=[c for c in docs.columns if c not in ("doc_id", "source")])
     return mixed.where("taken > 0").drop("sample_key")
 
@@ -56,7 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage wrote on its way goes once its result is written, and so does the
+    result that it read."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            after = keep(materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-")))
+        discard(docs)
+        docs = after
     return docs

@@ -161,10 +161,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", params: NearDup = NearDup()) -> DataFrame:
-    """docs without the rows that near_duplicates() doesn't keep; columns as they were."""
+    """docs without the rows that near_duplicates() doesn't keep; columns as they were.
+
+    Of rows of one id, or of no id, with the same text one stays, any of them; rows of no id are compared with no others.
+    """
     out = near_duplicates(docs, id_col=id_col, text_col=text_col, params=params)
     gone = materialize(out.where(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct(), "nd-gone")
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    left = docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    keys = docs.select(F.col(id_col).alias("again_id"), F.xxhash64(F.col(text_col)).alias("again_hash"))
+    again = materialize(keys.groupBy("again_id", "again_hash").count().where("count > 1"), "nd-again")
+    if again.isEmpty():
+        return left
+    held = left.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("key"), F.xxhash64(F.col(text_col)).alias("hash"))
+    held = held.join(again, held["key"].eqNullSafe(again["again_id"]) & (held["hash"] == again["again_hash"]), "left")
+    held = materialize(held.select("row", "key", "hash", F.col("count").isNotNull().alias("again")), "nd-held")
+    one = held.where("again").groupBy("key", "hash").agg(F.any_value("row").alias("row"))  # a row of each task at most is moved
+    return held.where("NOT again").select("row").unionByName(one.select("row")).select("row.*")
 
 
 def _tables(nodes: DataFrame, p: NearDup) -> DataFrame:
@@ -236,7 +248,7 @@ def _rest_pairs(tables: DataFrame, labels: DataFrame, sets: DataFrame, p: NearDu
     ranked = tokens.join(counts, "token", "left")
     prefix = (
         ranked.groupBy("id", "n", "component")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("t"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("t"))
         .select("id", "n", "component", F.posexplode(F.expr(f"slice(t, 1, cast(n - ceil(n * {p.percent} / 100.0) + 1 as int))")).alias("at", "t"))
         .where("t.df > 1")
         .select(F.col("t.token").alias("token"), "id", "n", "component", "at")

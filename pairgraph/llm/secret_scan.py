@@ -201,7 +201,7 @@ def _scanned(docs: DataFrame, rules: tuple[Rule, ...], *, text_col: str) -> Data
         return with_kind if query == ANY else F.when(meets(query, lambda t: F.contains(F.lower(text), F.lit(t))), with_kind).otherwise(none)
 
     # a generated column is worked out once, whatever is made of it
-    every = F.array_sort(F.concat(*[marked(no, rule) for no, rule in enumerate(rules)]))
+    every = F.sort_array(F.concat(*[marked(no, rule) for no, rule in enumerate(rules)]))
     return held.select("row", F.explode(F.array(every)).alias("hits"))
 
 

@@ -134,7 +134,7 @@ def cut_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """
     found = repeated_units(docs, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "id")
     unit = F.struct("no", "start", "end", "words", "first_id")
-    grouped = found.groupBy("id", "row").agg(F.array_sort(F.collect_set(unit)).alias("units"))
+    grouped = found.groupBy("id", "row").agg(F.sort_array(F.collect_set(unit)).alias("units"))
     id_type = found.schema["id"].dataType.simpleString()
     with small_batches(docs.sparkSession, 1000):
         spans = materialize(

@@ -47,7 +47,8 @@ def check(spark, rows, k=4, **params):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
     left = near_dup.drop_near_duplicates(docs, params=near_dup.NearDup(words=k, **params))
     assert left.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(r["doc_id"]) for r in out if r["kept"])
+    kept = {r["doc_id"] for r in out if r["kept"]}
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in left.collect()) == sorted({(str(i), str(t)) for i, t in rows if i in kept})
 
 
 def corpus(seed, passage=60):
@@ -89,7 +90,7 @@ def test_exact_stage_finds_what_few_tables_miss(spark):
 
 
 def test_edge_cases(spark):
-    rows = [(5, None), (6, ""), (7, " \n"), (8, "a b"), (9, "A  B"), (10, "a b c"), (None, "a b"), (3, "a b c d"), (3, "q r s t"), (2, "Q r s t")]
+    rows = [(5, None), (6, ""), (7, " \n"), (8, "a b"), (9, "A  B"), (10, "a b c"), (None, "a b"), (3, "a b c d"), (3, "q r s t"), (2, "Q r s t"), (5, None), (8, "a b"), (None, "a b"), (None, "c"), (6, "")]
     rows += [(12, " ".join(f"w{i}" for i in range(20000))), (11, " ".join(f"w{i}" for i in range(20001)))]
     check(spark, rows)
     check(spark, [])
