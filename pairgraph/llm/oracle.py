@@ -138,9 +138,11 @@ pieces AS (SELECT doc_id, i, list_sum([0] || list_transform(s[1 : i - 1], lambda
 units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS no, off + length(piece) - length(ltrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS a,
     off + length(rtrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS b, len(words) AS words, array_to_string(words, ' ') AS unit
   FROM (SELECT *, regexp_extract_all(lower(piece), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words FROM pieces) WHERE len(words) > 0),
-ranked AS (SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS first_id FROM units WINDOW w AS (PARTITION BY unit ORDER BY doc_id, a)),
+ranked AS (SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS first_id, first_value(no) OVER w AS first_no FROM units WINDOW w AS (PARTITION BY unit ORDER BY doc_id, a)),
 runs AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS run FROM ranked WHERE place > 1),
-passages AS (SELECT doc_id, min(a) AS a, max(b) AS b, count(*) AS n, list(first_id) AS ids FROM runs GROUP BY doc_id, run HAVING sum(words) >= 20 OR sum(b - a) >= 160)
+weighed AS (SELECT *, words >= 4 OR b - a >= 24 OR coalesce(lag(first_id) OVER w = first_id AND lag(first_no) OVER w = first_no - 1, false) OR coalesce(lead(first_id) OVER w = first_id AND lead(first_no) OVER w = first_no + 1, false) AS counts
+  FROM runs WINDOW w AS (PARTITION BY doc_id, run ORDER BY no)),
+passages AS (SELECT doc_id, min(a) AS a, max(b) AS b, count(*) AS n, list(first_id) AS ids FROM weighed GROUP BY doc_id, run HAVING 2 * sum(words) FILTER (counts) >= sum(words) AND (sum(words) FILTER (counts) >= 20 OR sum(b - a) FILTER (counts) >= 160))
 SELECT doc_id, sum(n)::BIGINT AS n_units, sum(b - a)::BIGINT AS n_chars_cut, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, list_sort(list_distinct(flatten(list(ids)))) AS first_ids
 FROM passages GROUP BY doc_id
 """

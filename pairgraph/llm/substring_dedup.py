@@ -4,7 +4,8 @@ A unit is a line, or each sentence of a line that holds several. It is normalise
 white space to single spaces) and hashed to 128 bits; digests are grouped over the whole corpus with partial
 aggregates, and the occurrence of the lowest rank is the one that stays. Of the others those are cut that belong to
 a repeated passage: units that follow each other in a document and are all repeated make one, and it is cut
-when it reaches a number of words. So a passage is found whether it stands in one long line, in many short ones or in
+when it reaches a number of words. A short unit recurs by chance and counts only where its first occurrence stands next to
+that of its neighbour as well; what counts must be half of the words at least. So a passage is found whether it stands in one long line, in many short ones or in
 the middle of a line, and a phrase of a few words that recurs by itself stays where it is. Offsets are those of the
 original text.
 """
@@ -32,10 +33,13 @@ _SPACE = " \t\n\v\f\r"
 @dataclass(frozen=True)
 class Units:
     """least_words, least_chars: a repeated passage is cut if it reaches so many words, or so many code points (for
-    scripts without spaces). With 1 every repeated unit is cut, whatever its length."""
+    scripts without spaces). short_words, short_chars: a unit under both is short. With all of them 1 every repeated unit
+    is cut, whatever its length."""
 
     least_words: int = 20
     least_chars: int = 160
+    short_words: int = 4
+    short_chars: int = 24
 
 
 def units_of(text: str | None) -> Iterator[tuple[int, int, int, bytes]]:
@@ -75,7 +79,7 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each unit that isn't the first of its digest: id, row (a hash of the text), no (the unit's place in
-    it), start, end, words, first_id, first_start.
+    it), start, end, words, first_id, first_start, first_no.
 
     Occurrences rank by id and then by offset. Rows that share an id are one document: units at the same
     offset are the same occurrence. Null ids rank before all others. Null and empty texts have no units; an
@@ -84,10 +88,10 @@ def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).cast("string").alias("text"))
     id_type = narrow.schema["id"].dataType.simpleString()
     cut = narrow.mapInArrow(_cutter, f"id {id_type}, row bigint, no int, start int, end int, words int, digest binary")
-    rank = F.struct("id", "start")
+    rank = F.struct("id", "start", "no")
     with small_batches(docs.sparkSession, 1000):
         firsts = cut.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("NOT first <=> last")
-        firsts = materialize(firsts.select("digest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")), "sd-firsts")
+        firsts = materialize(firsts.select("digest", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "start", "no")]), "sd-firsts")
         again = cut.join(firsts, "digest").where("NOT (id <=> first_id AND start = first_start)").drop("digest")
         out = materialize(again, "sd-again")
     discard(firsts)
@@ -101,9 +105,12 @@ def _passages(p: Units):
             for units in batch.column(2).to_pylist():  # sorted by place
                 out, n, ids = [], 0, []
                 for a, b in _runs([u["no"] for u in units]):
-                    start, end = units[a]["start"], units[b - 1]["end"]
-                    if sum(u["words"] for u in units[a:b]) >= p.least_words or sum(u["end"] - u["start"] for u in units[a:b]) >= p.least_chars:
-                        out.append({"start": start, "end": end})
+                    count = [u for i, u in enumerate(units[a:b], a) if _counts(u, units[max(a, i - 1) : min(b, i + 2)], p)]
+                    words = sum(u["words"] for u in count)
+                    if 2 * words < sum(u["words"] for u in units[a:b]):
+                        continue
+                    if words >= p.least_words or sum(u["end"] - u["start"] for u in count) >= p.least_chars:
+                        out.append({"start": units[a]["start"], "end": units[b - 1]["end"]})
                         n += b - a
                         ids += [u["first_id"] for u in units[a:b]]
                 spans.append(out)
@@ -117,6 +124,13 @@ def _passages(p: Units):
     return run
 
 
+def _counts(unit: dict, around: list[dict], p: Units) -> bool:
+    """Whether a unit is long, or stands first where one of those around it does as well."""
+    if unit["words"] >= p.short_words or unit["end"] - unit["start"] >= p.short_chars:
+        return True
+    return any(v["first_id"] == unit["first_id"] and v["first_no"] - unit["first_no"] == v["no"] - unit["no"] != 0 for v in around)
+
+
 def _runs(numbers: list[int]) -> Iterator[tuple[int, int]]:
     """Ranges of indexes over which ascending numbers follow each other."""
     a = 0
@@ -133,7 +147,7 @@ def cut_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     Equal rows of one id are one. As in repeated_units otherwise.
     """
     found = repeated_units(docs, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "id")
-    unit = F.struct("no", "start", "end", "words", "first_id")
+    unit = F.struct("no", "start", "end", "words", "first_id", "first_no")
     grouped = found.groupBy("id", "row").agg(F.sort_array(F.collect_set(unit)).alias("units"))
     id_type = found.schema["id"].dataType.simpleString()
     with small_batches(docs.sparkSession, 1000):
