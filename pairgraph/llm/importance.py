@@ -76,7 +76,7 @@ def rows_with(rows: DataFrame, ids: DataFrame) -> DataFrame:
     bitmap = ids.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("one")).groupBy("word").agg(F.bit_or("one").alias("ones"))
     near = rows.withColumn("word", word).join(F.broadcast(bitmap), "word")  # 2 ** WORD_BITS rows of the bitmap at most
     near = near.where(F.call_function("shiftrightunsigned", F.col("ones"), bit).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
-    return near.join(ids.hint("merge"), "id", "left_semi")
+    return near.join(ids.hint("merge"), "id").select(*rows.columns)  # a semi join would be moved before the bitmap
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, p: Importance) -> np.ndarray:
