@@ -33,11 +33,11 @@ class Toxicity:
 
     sizes: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
-    fit_rows: int = 6000
+    fit_rows: int = 4000
     least_rows: int = 3
     least_z: float = 3.0
     penalty: float = 0.001
-    rounds: int = 100
+    rounds: int = 60
     folds: int = 3
     decide: float = 0.7
 
@@ -86,12 +86,12 @@ def _chance(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def choose_features(rows: np.ndarray, toxic_rows: np.ndarray, n: int, toxic: int, p: Toxicity) -> np.ndarray:
-    """Features whose count in toxic texts is least_z deviations or more from that of chance. rows, toxic_rows: the
-    texts, and the toxic ones, that have each feature; n, toxic: all of them."""
-    share = toxic / n if n else 0.0
-    spread = np.sqrt(np.maximum(rows * share * (1 - share), 1e-9))
-    return np.flatnonzero((rows >= p.least_rows) & (np.abs(toxic_rows - rows * share) >= p.least_z * spread))
+def off_chance(n_docs: int, toxic_docs: int, p: Toxicity) -> Column:
+    """Whether the count of a feature in toxic texts (column toxic, of n texts with it) is least_z deviations or more from
+    that of chance."""
+    share = toxic_docs / n_docs if n_docs else 0.0
+    spread = F.sqrt(F.greatest(F.col("n") * share * (1 - share), F.lit(1e-9)))
+    return (F.col("n") >= p.least_rows) & (F.abs(F.col("toxic") - F.col("n") * share) >= p.least_z * spread)
 
 
 def fit(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, n_features: int, p: Toxicity) -> tuple[np.ndarray, float]:
@@ -125,7 +125,7 @@ def _lowest(f, x: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
     value, g = f(x)
     steps: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(rounds):
-        if np.abs(g).max() < 1e-7:
+        if np.abs(g).max() < 1e-6:
             break
         q, parts = g.copy(), []
         for s, y, r in reversed(steps):
@@ -216,22 +216,22 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
         sample = texts.join(chosen, "id").select("y", "text")
         sample = materialize(sample.mapInArrow(made, "key binary, y int, features binary"), "toxic-sample")
         counts = sample.select("y", "features").mapInArrow(counted, "feature bigint, n bigint, toxic bigint")
-        counts = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= p.least_rows)
         n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-        found = counts.collect()  # a row for each feature at most, of which there are 2 ** bits
-    rows, in_toxic = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    at = np.array([r["feature"] for r in found], np.int64)
-    rows[at], in_toxic[at] = [r["n"] for r in found], [r["toxic"] for r in found]
-    chosen_features = choose_features(rows, in_toxic, n, toxic, p)
+        counts = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(off_chance(n, toxic, p))
+        chosen_features = np.array(sorted(r[0] for r in counts.select("feature").collect()), np.int64)  # 2 ** bits at most
     number = np.full(size, -1, np.int32)
     number[chosen_features] = np.arange(len(chosen_features))
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [number[np.frombuffer(x, np.int32)] for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[x >= 0].tobytes() for x in found], pa.binary())], ["key", "y", "features"])
+
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, y = [], []
         for batch in batches:
             for label, mine in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = number[np.frombuffer(mine, np.int32)]
-                entries.append(found[found >= 0])
+                entries.append(np.frombuffer(mine, np.int32))
                 y.append(label)
         labels_ = np.array(y, np.int64)
         of = np.bincount(labels_, minlength=2)
@@ -242,7 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, lab
 
     # the order depends on the rows alone, so that sums come out alike in reruns
     with small_batches(spark, 200):
-        model = sample.orderBy("key", "y").coalesce(1).mapInArrow(fitted, "weights binary, bias double").collect()
+        small = sample.mapInArrow(numbered, "key binary, y int, features binary")
+        model = small.orderBy("key", "y").coalesce(1).mapInArrow(fitted, "weights binary, bias double").collect()
     discard(known, sample)
     weights = np.zeros(size)
     if not model:

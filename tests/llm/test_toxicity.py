@@ -88,9 +88,10 @@ def test_fit_against_newton_steps():
     assert np.allclose(np.append(weights, bias), np.append(w[:-1] * ratio, w[-1]), atol=1e-4)
 
 
-def test_chosen_features_lie_off_chance():
-    rows, toxic = np.array([100, 100, 2, 50]), np.array([10, 40, 2, 5])
-    assert list(t.choose_features(rows, toxic, 1000, 100, t.Toxicity())) == [1]  # (40 - 10) / 3 deviations
+def test_chosen_features_lie_off_chance(spark):
+    counts = spark.createDataFrame([(0, 100, 10), (1, 100, 40), (2, 2, 2), (3, 50, 5), (4, 400, 4)], "feature int, n long, toxic long")
+    assert [r[0] for r in counts.where(t.off_chance(1000, 100, t.Toxicity())).collect()] == [1, 4]  # (40 - 10) / 3 and (4 - 40) / 6 deviations
+    assert counts.where(t.off_chance(1000, 0, t.Toxicity())).count() == counts.where("n >= 3").count()  # one class: whatever
 
 
 def test_long_labelled_texts_count(spark):
