@@ -1,16 +1,15 @@
 """Candidate pairs: all pairs, pairs under a distance, and the top-k similarity join with boundary ties.
 
 Descriptors are rows (filename, descriptor ARRAY<FLOAT or DOUBLE>, unit length or zeros). The joins work through
-blocks of rows of bounded bytes: a block goes to every task, each task holds its own rows against it in one
-matrix product and keeps what may still be among the nearest. A block's bytes are a parameter, so what is sent
-doesn't grow with the data; the number of passes does, as an exact join of all rows needs.
+tiles: rows are dealt to blocks of bounded bytes, a task holds two blocks against each other in one matrix product and
+keeps what may still be among the nearest. The driver sees no row and the plan doesn't grow; the number of tiles is the
+square of the blocks', as an exact join of all rows needs, and a row is sent once for each block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,20 +62,6 @@ def all_pairs(names: DataFrame, col: str = "filename") -> DataFrame:
     return a.join(b, F.col("left") < F.col("right"))
 
 
-def _blocks(vectors: DataFrame, block_bytes: int) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Rows streamed to the driver in name order, a block at a time."""
-    names, rows, size = [], [], 0
-    for name, v in vectors.orderBy("filename").toLocalIterator(prefetchPartitions=False):
-        names.append(name)
-        rows.append(np.asarray(v, np.float64))
-        size += 8 * len(v)
-        if size >= block_bytes:
-            yield names, np.stack(rows)
-            names, rows, size = [], [], 0
-    if names:
-        yield names, np.stack(rows)
-
-
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine distances of unit rows, with the rule for empty vectors, rounded."""
     zero_a, zero_b = ~a.any(axis=1), ~b.any(axis=1)
@@ -86,37 +71,51 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(d, DECIMALS)
 
 
-def _against(block: tuple[list[str], np.ndarray], keep, piece_bytes: int = 16 << 20):
-    """A task's rows against the block, so many at once that their distances fill piece_bytes; keep(distances)
-    says which entries to return."""
-    names, matrix = block
-    step = max(1, piece_bytes // (8 * len(names)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {n: i for i, n in enumerate(names)}
-        for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                piece = batch.slice(start, step)
-                own = piece.column(0).to_pylist()
-                rows = np.stack([np.asarray(v, np.float64) for v in piece.column(1).to_pylist()])
-                d = distances(rows, matrix)
-                for i, n in enumerate(own):
-                    if n in at:
-                        d[i, at[n]] = np.inf  # not its own neighbour
+def _n_blocks(rows: DataFrame, block_bytes: int) -> int:
+    """Blocks of at most about so many bytes, and as many as give each core a tile at least."""
+    size = rows.agg(F.sum(F.size("descriptor").cast("long"))).first()[0] or 0
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, math.ceil(8 * size / block_bytes), math.isqrt(2 * cores))
+
+
+def _tile(keep, piece_bytes: int = 16 << 20):
+    """The rows of two blocks against each other, so many at once that their distances fill piece_bytes; keep(distances)
+    says which entries of each row to return. Both directions are returned, l < r or not."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, types = ["l", "r", "distance"], (pa.string(), pa.string(), pa.float64())
+        if not left.num_rows or not right.num_rows:  # a block without rows
+            return pa.table([pa.array([], t) for t in types], names)
+        own, other = (t.column(0).to_numpy() for t in (left, right))
+        a, b = (t.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (left, right))
+        same = left.column(2)[0].as_py() == left.column(3)[0].as_py()
+        out: list[tuple] = []
+
+        def one_way(mine, rows, others, matrix) -> None:
+            step = max(1, piece_bytes // (8 * len(matrix)))
+            for start in range(0, len(rows), step):
+                d = distances(rows[start : start + step], matrix)
+                d[mine[start : start + step, None] == others[None, :]] = np.inf  # not its own neighbour
                 i, j = np.nonzero(keep(d))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([own[x] for x in i], pa.string()), pa.array([names[x] for x in j], pa.string()), pa.array(d[i, j])],
-                    ["l", "r", "distance"],
-                )
+                out.append((mine[start + i], others[j], d[i, j]))
+
+        one_way(own, a, other, b)
+        if not same:
+            one_way(other, b, own, a)
+        return pa.table([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return run
 
 
 def _joined(vectors: DataFrame, keep, block_bytes: int) -> DataFrame:
     rows = vectors.select(F.col("filename").cast("string").alias("filename"), F.col("descriptor").cast("array<double>").alias("descriptor"))
-    schema = "l string, r string, distance double"
-    parts = [rows.mapInArrow(_against(b, keep), schema) for b in _blocks(rows, block_bytes)]
-    return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
+    n = _n_blocks(rows, block_bytes)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("filename"), F.lit(n)).cast("int"))
+    # a row stands left in the tiles of its block and later ones, and right in those of its block and earlier ones
+    side = lambda i, j, c: dealt.select(F.col("filename").alias(f"{c}_name"), F.col("descriptor").alias(f"{c}_vector"), i.alias("i"), j.alias("j"))
+    left = side(F.col("block"), F.explode(F.sequence("block", F.lit(n - 1))), "l")
+    right = side(F.explode(F.sequence(F.lit(0), "block")), F.col("block"), "r")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_tile(keep), "l string, r string, distance double")
 
 
 def top_k_neighbours(vectors: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:

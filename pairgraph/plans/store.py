@@ -84,3 +84,17 @@ def discard(*tables: DataFrame) -> None:
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application wrote; results that were not stored elsewhere go with them."""
     _delete(spark, _folder(spark))
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs inside, as rows may be long: memory is a batch's size."""
+    was = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, was)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,13 +88,13 @@ def local(img: DataFrame, view: str = "raw") -> DataFrame:
     v = F.col("descriptor") if view == "raw" else vx.stretch(F.col("descriptor"), 1, 99, None)
     parts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("v", i * 4 + 1, 4))
     e = img.select("filename", v.alias("v")).select("filename", F.posexplode(parts).alias("no", "descriptor"))
-    return e.select("filename", F.col("no").cast("long").alias("no"), (F.col("no") % 4 * 16 + 8).cast("double").alias("x"), (F.floor(F.col("no") / 4) * 16 + 8).cast("double").alias("y"), "descriptor")
+    return e.select(F.lit(view).alias("view"), "filename", F.col("no").cast("long").alias("no"), (F.col("no") % 4 * 16 + 8).cast("double").alias("x"), (F.floor(F.col("no") / 4) * 16 + 8).cast("double").alias("y"), "descriptor")
 
 
-def measured(spark: SparkSession, sf_dir: str, view: str = "raw") -> DataFrame:
-    """Evidence of the candidate pairs, with the correlation of whole vectors as the structural one."""
+def measured(spark: SparkSession, sf_dir: str, views: tuple[str, ...] = ("raw",)) -> DataFrame:
+    """Evidence of the candidate pairs in each view, with the correlation of whole vectors as the structural one."""
     img, pairs = images(spark, sf_dir), pairs_of(spark, sf_dir)
-    ev = evidence.descriptor_evidence(pairs, local(img, view))
+    ev = evidence.descriptor_evidence(pairs, reduce(DataFrame.unionByName, [local(img, v) for v in views]))
     l, r = img.select(F.col("filename").alias("left"), F.col("descriptor").alias("dl")), img.select(F.col("filename").alias("right"), F.col("descriptor").alias("dr"))
     corr = pairs.join(l, "left").join(r, "right").select("left", "right", F.round(vx.pearson(F.col("dl"), F.col("dr")), 9).alias("structural_correlation"))
     return ev.join(corr, ["left", "right"])
@@ -101,8 +102,7 @@ def measured(spark: SparkSession, sf_dir: str, view: str = "raw") -> DataFrame:
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions of both views."""
-    both = [decisions.classify(measured(spark, sf_dir, v), SMALL_STATES).withColumn("view", F.lit(v)) for v in ("raw", "stretched")]
-    return both[0].unionByName(both[1]).withColumn("score", F.round("score", 6))
+    return decisions.classify(measured(spark, sf_dir, ("raw", "stretched")), SMALL_STATES).withColumn("score", F.round("score", 6))
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,22 +429,22 @@ def q_pair_seed(spark, sf_dir):
 # --- evidence and decisions ------------------------------------------------------------------------------------
 
 
-def distances_of(spark, sf_dir):
-    return evidence.directed_distances(pairs_of(spark, sf_dir), local(images(spark, sf_dir)))
+def flags_of(spark, sf_dir):
+    return evidence.match_flags(pairs_of(spark, sf_dir), local(images(spark, sf_dir)).drop("view"), 0.78)
 
 
 def placed_of(spark, sf_dir):
-    return evidence.place_matches(evidence.mutual_matches(distances_of(spark, sf_dir), 0.78), local(images(spark, sf_dir)))
+    return evidence.place_matches(evidence.mutual_matches(flags_of(spark, sf_dir)), local(images(spark, sf_dir)))
 
 
 @query(f'WITH {RAW} SELECT "left", "right", q, t, dd AS distance FROM a_f')
 def q_ratio_matches(spark, sf_dir):
-    return evidence.ratio_matches(distances_of(spark, sf_dir), 0.78)
+    return evidence.ratio_matches(flags_of(spark, sf_dir))
 
 
 @query(f'WITH {RAW} SELECT "left", "right", q, t FROM a_m')
 def q_mutual(spark, sf_dir):
-    return evidence.mutual_matches(distances_of(spark, sf_dir), 0.78).drop("distance")
+    return evidence.mutual_matches(flags_of(spark, sf_dir)).drop("distance")
 
 
 @query(f'WITH {RAW} SELECT "left", "right", count(DISTINCT [lx, ly]) / 16.0::DOUBLE AS grid_coverage_left, count(DISTINCT [rx, ry]) / 16.0::DOUBLE AS grid_coverage_right FROM a_m GROUP BY ALL')
