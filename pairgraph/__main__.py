@@ -1,4 +1,4 @@
-"""python -m pairgraph COMMAND: audit, compare-audits, score, run, final-evaluate, summarize, gallery, sweep, fingerprint, group."""
+"""python -m pairgraph COMMAND: audit, compare-audits, score, run, final-evaluate, summarize, gallery, sweep, fingerprint, group, benchmark."""
 
 from __future__ import annotations
 
@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     add("sweep", "root", "definition", "dataset-root", "manifest", "output-root", "registry", more=("cache-root", "output"))
     add("fingerprint", more=("config", "split"))
     add("group", "input-dir", "output-dir")
+    add("benchmark", "dataset-root", "manifest", more=("split", "output"))
     return p
 
 
@@ -92,6 +93,8 @@ def main(argv: list[str] | None = None) -> Any:
             spark, load(a.definition), root=a.root, dataset_root=a.dataset_root, manifest_path=a.manifest, output_root=a.output_root,
             registry_path=a.registry, cache_root=a.cache_root,
         )
+    elif a.command == "benchmark":
+        out = lifecycle.benchmark(spark, dataset_root=a.dataset_root, manifest_path=a.manifest, split_path=a.split)
     else:
         from pairgraph.plans.image_runs import group_folder
 

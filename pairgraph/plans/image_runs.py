@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairgraph.functions import kernels as k
-from pairgraph.functions.text import pair_seed
+from pairgraph.functions.text import basename, content_hash, pair_seed
 from pairgraph.operators import decisions, grouping
 from pairgraph.operators.candidates import Candidates, Screen, all_pairs, check_pairs, orient, screen_candidates
 from pairgraph.operators.partitions import canonical, validate
 from pairgraph.plans.config import Config, FeatureConfig, MatchConfig, StructuralConfig, shipped_config
-from pairgraph.plans.store import materialize
+from pairgraph.plans.store import materialize, small_batches
 from pairgraph.sources.sinks import Memo, write_predictions
 from pairgraph.sources.tables import discover_images
 
@@ -32,6 +32,8 @@ MEASURES = """left_keypoints int, right_keypoints int, forward_ratio_matches int
  model_found boolean, inliers int, inlier_ratio double, median_transfer_error double, grid_coverage_left double, grid_coverage_right double,
  hull_coverage_left double, hull_coverage_right double, coverage_min double, scale double, rotation_degrees double,
  translation_fraction double, structural_correlation double, transform array<array<double>>"""
+#: A row of an Arrow batch holds an image, or the features of two.
+IMAGES_AT_ONCE = 8
 EVIDENCE = f"left_hash string, right_hash string, {MEASURES}"
 
 
@@ -48,13 +50,27 @@ class Run:
 
 
 def load_images(spark: SparkSession, folder: str, *, recursive: bool = False) -> DataFrame:
-    """Image files with gray pixels, turned upright; decode_ok is false where a file can't be read."""
+    """Image files with gray pixels, turned upright; decode_ok is false where a file can't be read. The rows are written
+    to the shared folder."""
     files = discover_images(spark, folder, recursive=recursive)
+    return _decoded(spark, files, folder if recursive else f"{folder.rstrip('/')}/*", recursive)
+
+
+def load_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The same for a list of files; their names must differ."""
+    if not paths:
+        return spark.createDataFrame([], IMAGE)
+    files = spark.read.format("binaryFile").load(paths).withColumns({"filename": basename(F.col("path")), "content_hash": content_hash(F.col("content"))})
+    images = _decoded(spark, files, paths, False)
+    check_names(images)
+    return images
+
+
+def _decoded(spark: SparkSession, files: DataFrame, where: str | list[str], recursive: bool) -> DataFrame:
     if files.isEmpty():
         return spark.createDataFrame([], IMAGE)
-    glob = folder if recursive else f"{folder.rstrip('/')}/*"
     reader = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", str(recursive).lower())
-    pixels = reader.load(glob).select(_plain(F.col("image.origin")).alias("origin"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("c"), F.col("image.data").alias("data"))
+    pixels = reader.load(where).select(_plain(F.col("image.origin")).alias("origin"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("c"), F.col("image.data").alias("data"))
     both = files.withColumn("origin", _plain(F.col("path"))).join(pixels, "origin", "left")
     both = both.select("filename", "path", "content_hash", "length", "content", "h", "w", "c", "data")
 
@@ -70,7 +86,8 @@ def load_images(spark: SparkSession, folder: str, *, recursive: bool = False) ->
                 types = [pa.string()] * 3 + [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(cols, types, strict=True)], [c.split()[0] for c in IMAGE.split(", ")])
 
-    return both.mapInArrow(run, IMAGE)
+    with small_batches(spark, IMAGES_AT_ONCE):
+        return materialize(both.mapInArrow(run, IMAGE), "images")
 
 
 def _plain(uri):
@@ -99,7 +116,8 @@ def structural_descriptors(images: DataFrame, c: StructuralConfig) -> DataFrame:
                 out.append(k.structural_descriptor(_gray(row), c).tolist() if row["gray"] is not None else None)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.list_(pa.float32()))], ["filename", "descriptor"])
 
-    return images.select("filename", "height", "width", "gray").mapInArrow(run, "filename string, descriptor array<float>")
+    with small_batches(images.sparkSession, IMAGES_AT_ONCE):
+        return materialize(images.select("filename", "height", "width", "gray").mapInArrow(run, "filename string, descriptor array<float>"), "descriptors")
 
 
 def local_features(images: DataFrame, c: FeatureConfig, percentiles: tuple[float, float] | None) -> DataFrame:
@@ -156,7 +174,8 @@ def measure_pairs(hash_pairs: DataFrame, features: DataFrame, c: MatchConfig, se
 def _memoized(memo: Memo | None, fingerprint: str, wanted: DataFrame, compute, name: str, counters: dict[str, int], kind: str) -> DataFrame:
     """Rows for the wanted keys, those not kept computed and kept; counts hits and misses."""
     if memo is None:
-        out = materialize(compute(wanted), name)
+        with small_batches(wanted.sparkSession, IMAGES_AT_ONCE):
+            out = materialize(compute(wanted), name)
         counters[f"{kind}_misses"] = counters.get(f"{kind}_misses", 0) + out.count()
         return out
     hits, misses = memo.lookup(wanted, fingerprint)
@@ -164,7 +183,8 @@ def _memoized(memo: Memo | None, fingerprint: str, wanted: DataFrame, compute, n
     counters[f"{kind}_misses"] = counters.get(f"{kind}_misses", 0) + misses.count()
     hits = materialize(hits, name)
     if not misses.isEmpty():
-        fresh = materialize(compute(misses), name)
+        with small_batches(wanted.sparkSession, IMAGES_AT_ONCE):
+            fresh = materialize(compute(misses), name)
         memo.put(fresh, fingerprint)
         return hits.unionByName(fresh.select(*hits.columns))
     return hits
@@ -200,7 +220,7 @@ def run_structural(images: DataFrame, c: StructuralConfig) -> Run:
     from pairgraph.operators.candidates import pairs_within
 
     check_names(images)
-    d = materialize(structural_descriptors(images, c), "descriptors")
+    d = structural_descriptors(images, c)
     edges = pairs_within(d.where("descriptor IS NOT NULL"), c.structural_distance_threshold)
     return Run(grouping.component_groups(images, edges), fallback=d.where("descriptor IS NULL").select("filename"))
 
@@ -210,7 +230,7 @@ def _screened(images: DataFrame, config: Config) -> Candidates:
     screen = Screen(c.all_pairs_max_images, c.top_k)
     if images.count() <= screen.all_pairs_max:  # descriptors aren't made for so few
         return screen_candidates(images.select("filename", F.lit(None).cast("array<float>").alias("descriptor")), screen)
-    return screen_candidates(materialize(structural_descriptors(images, c.structural), "descriptors"), screen)
+    return screen_candidates(structural_descriptors(images, c.structural), screen)
 
 
 def run_classical(images: DataFrame, config: Config, *, pairs: DataFrame | None = None, cache: str | None = None, strict: bool = False) -> Run:
@@ -259,14 +279,24 @@ def run_algorithm(images: DataFrame, config: Config, **options: Any) -> Run:
     return run_classical(images, config, **options)
 
 
-def group_images(images: DataFrame) -> DataFrame:
+def as_lists(partition: DataFrame) -> list[list[str]]:
+    """A partition in canonical form; it must fit the driver."""
+    out: list[list[str]] = []
+    for r in canonical(partition).orderBy("group_no", "filename").collect():
+        if r["group_no"] == len(out):
+            out.append([])
+        out[-1].append(r["filename"])
+    return out
+
+
+def group_frame(images: DataFrame) -> DataFrame:
     """The shipped settings: (filename, group_no) in canonical order."""
     return canonical(run_classical(images, shipped_config()).partition)
 
 
 def group_folder(spark: SparkSession, input_dir: str, output_dir: str):
     """A folder of images to predictions.csv."""
-    images = materialize(load_images(spark, input_dir), "images")
+    images = load_images(spark, input_dir)
     run = run_classical(images, shipped_config())
     return write_predictions(run.partition, images.select("filename"), f"{output_dir}/predictions.csv")
 
@@ -289,4 +319,5 @@ def audit_files(spark: SparkSession, folder: str) -> DataFrame:
             types = {"length": pa.int64(), "width": pa.int32(), "height": pa.int32(), "decode_ok": pa.bool_(), "dark": pa.float64(), "bright": pa.float64(), "luminance": pa.float64(), "sharpness": pa.float64()}
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types.get(n, pa.string())) for n in names], names)
 
-    return images.mapInArrow(run, schema)
+    with small_batches(spark, IMAGES_AT_ONCE):
+        return materialize(images.mapInArrow(run, schema), "audited-files")

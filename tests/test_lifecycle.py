@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from test_images import expose, scene
 
+import pairgraph
 from pairgraph.__main__ import main
 from pairgraph.functions import kernels as k
 from pairgraph.plans import config, image_runs, lifecycle
@@ -110,3 +111,17 @@ def test_watched_folder(spark, package, tmp_path):
     q.awaitTermination(120)
     lines = (tmp_path / "p.csv").read_text().splitlines()
     assert len(lines) == 7 and np.unique([x.split(",")[1] for x in lines[1:]]).size == 3
+
+
+def test_benchmark_and_plain_calls(spark, package):
+    report = main(["benchmark", "--dataset-root", str(package / "data"), "--manifest", str(package / "manifest.csv")])
+    assert report["predicted_group_count"] == 3 and report["resources"]["candidate_pair_count"] == 15
+    paths = sorted(str(p) for p in (package / "data").iterdir())
+    out = pairgraph.group_images_with_resources(paths[::-1], spark=spark)
+    want = [[f"g{i}_0.7.png", f"g{i}_1.0.png"] for i in range(3)]
+    assert out.groups == want and out.resources["image_count"] == 6 and config.canonical_hash(out.groups) == report["prediction_sha256"]
+    assert pairgraph.group_images([], spark=spark) == []
+    score = pairgraph.score_groups(want, [want[0], want[1] + want[2]], spark=spark)
+    assert (score.exact_matches, score.total_reference_groups, score.metrics["merge_damaged_reference_groups"]) == (1, 3, 2)
+    with pytest.raises(ValueError):
+        pairgraph.score_groups(want, [want[0], want[0]], spark=spark)
