@@ -15,6 +15,11 @@ def repeated(rows: DataFrame, key: str, name: str = "filename") -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(name)).alias("names"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def inverted(rows: DataFrame, value: str, out: str = "names", name: str = "filename") -> DataFrame:
+    """(value, out): a map from names to values turned round, with the sorted names of each value."""
+    return rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.sort_array(F.collect_list(name)).alias(out))
+
+
 def cross_group(rows: DataFrame, key: str) -> DataFrame:
     """repeated() values whose names lie in more than one group, with the number of groups."""
     g = rows.where(F.col(key).isNotNull()).groupBy(key)
@@ -100,8 +105,7 @@ def shared_names(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def shared_values(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, left_names, right_names): values that both audits hold."""
-    names = lambda df, out: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list("filename")).alias(out))
-    return names(left, "left_names").join(names(right, "right_names"), key)
+    return inverted(left, key, "left_names").join(inverted(right, key, "right_names"), key)
 
 
 def relation_changes(left: DataFrame, right: DataFrame) -> DataFrame:

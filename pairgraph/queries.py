@@ -7,20 +7,27 @@ another name, so that true pairs exist. documents stand for files, orders and ev
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairgraph.functions import kernels
 from pairgraph.functions import text as tx
 from pairgraph.functions import vectors as vx
 from pairgraph.operators import audit, candidates, decisions, evidence, grouping, partitions
 from pairgraph.operators.components import connected_components
-from pairgraph.plans import registry, sweep
-from pairgraph.plans.config import StateConfig
-from pairgraph.plans.store import materialize
+from pairgraph.plans import image_runs, registry, sweep
+from pairgraph.plans.config import GroupingConfig, StateConfig, StructuralConfig, shipped_config
+from pairgraph.plans.store import materialize, shared_dir
+from pairgraph.sources.scenes import write_scenes
+from pairgraph.sources.sinks import Memo, write_predictions
+from pairgraph.sources.tables import discover_images, read_groups
 
 SMALL_STATES = replace(
     StateConfig(), negative_min_keypoints=16, negative_min_mutual_matches=4, strong_min_inliers=4, positive_min_inliers=4
@@ -176,12 +183,60 @@ comp AS (SELECT src AS filename, min(dst) AS component FROM reach GROUP BY src)"
 # --- scans, predicates and audits ------------------------------------------------------------------------------
 
 
-@query("""SELECT lower(regexp_extract(p, '(\\.[^.]+)$', 1)) AS suffix, p AS filename, count(*) AS n
-  FROM (SELECT string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1] AS p FROM pages) WHERE regexp_matches(lower(p), '^.+\\.(html|htm|jpg)$') GROUP BY ALL""")
+SCENES = """gains AS (SELECT * FROM (VALUES ('0.6'), ('1.0'), ('1.2')) t(gain)), scenes AS (SELECT lpad(i::VARCHAR, 3, '0') AS i FROM range(0, 4) t(i)),
+pics AS (SELECT 's' || i || '_' || gain || '.png' AS filename, 's' || i AS scene FROM scenes, gains UNION ALL SELECT 'copy.PNG', 's000')"""
+
+
+def scene_folder(spark):
+    """Four generated scenes in three exposures each, a copy of a file, a file that can't be read and one that is none."""
+    return write_scenes(spark, "queries", 4, odd=True)
+
+
+@query(f"WITH {SCENES}, f AS (SELECT filename FROM pics UNION ALL SELECT 'broken.jpg') SELECT filename, lower(regexp_extract(filename, '(\\.[^.]+)$', 1)) AS suffix FROM f")
 def q_discover(spark, sf_dir):
-    name = tx.basename(F.regexp_replace("url", "[?#].*$", ""))
-    p = read(spark, sf_dir, "pages").select(name.alias("filename")).where(tx.has_suffix(F.col("filename"), (".html", ".htm", ".jpg")))
-    return p.groupBy(F.lower(F.regexp_extract("filename", r"(\.[^.]+)$", 1)).alias("suffix"), "filename").agg(F.count(F.lit(1)).alias("n"))
+    found = discover_images(spark, scene_folder(spark), content=False)
+    return found.select("filename", F.lower(F.regexp_extract("filename", r"(\.[^.]+)$", 1)).alias("suffix"))
+
+
+@query(f"WITH {SCENES} SELECT filename, 150 AS height, 200 AS width, true AS decode_ok, true AS has_features FROM pics UNION ALL SELECT 'broken.jpg', NULL, NULL, false, false")
+def q_image_features(spark, sf_dir):
+    """Decoded files, and whether either view finds local features in them."""
+    images = image_runs.load_images(spark, scene_folder(spark))
+    pairs = candidates.all_pairs(images.where("decode_ok").select("filename"))
+    config = shipped_config()
+    found = [image_runs.view_evidence(images, pairs, config, v)[1].where("length(points) > 0").select("content_hash") for v in ("clahe", "percentile-clahe")]
+    both = found[0].join(found[1], "content_hash").distinct().withColumn("has_features", F.lit(True))
+    return images.join(both, "content_hash", "left").select("filename", "height", "width", "decode_ok", F.coalesce("has_features", F.lit(False)).alias("has_features"))
+
+
+@query(f"""WITH {SCENES} SELECT a.filename AS "left", b.filename AS "right", a.scene = b.scene AS same_scene, false AS contradicted FROM pics a JOIN pics b ON a.filename < b.filename""")
+def q_image_evidence(spark, sf_dir):
+    """Decisions of both views fused: none contradicts the scenes."""
+    run = image_runs.run_classical(image_runs.load_images(spark, scene_folder(spark)), shipped_config())
+    scene = lambda c: F.when(F.col(c) == "copy.PNG", "s000").otherwise(F.substring(c, 1, 4))
+    same = scene("left") == scene("right")
+    wrong = F.when(same, F.col("state") == "negative").otherwise(F.col("state").isin(*decisions.POSITIVE))
+    return run.decisions.select("left", "right", same.alias("same_scene"), wrong.alias("contradicted"))
+
+
+@query(f"WITH {SCENES}, g AS (SELECT filename, scene FROM pics UNION ALL SELECT 'broken.jpg', 'broken.jpg'), h AS (SELECT filename, min(filename) OVER (PARTITION BY scene) AS head FROM g) SELECT filename, dense_rank() OVER (ORDER BY head) - 1 AS group_no FROM h")
+def q_image_groups(spark, sf_dir):
+    """The shipped run, from files to groups."""
+    return image_runs.group_frame(image_runs.load_images(spark, scene_folder(spark)))
+
+
+@query(f"WITH {SCENES}, g AS (SELECT filename, scene FROM pics UNION ALL SELECT 'broken.jpg', 'broken.jpg') SELECT filename, min(filename) OVER (PARTITION BY scene) AS group_id FROM g")
+def q_image_structural(spark, sf_dir):
+    """Components of global descriptors."""
+    return image_runs.run_structural(image_runs.load_images(spark, scene_folder(spark)), StructuralConfig()).partition
+
+
+@query(f"WITH {SCENES} SELECT 14 AS n_files, 1 AS undecodable, list(filename ORDER BY filename) AS copies FROM (SELECT 'copy.PNG' AS filename UNION ALL SELECT 's000_0.6.png')")
+def q_image_audit(spark, sf_dir):
+    files = image_runs.audit_files(spark, scene_folder(spark))
+    parts = audit.audit(files, files.select("filename", F.substring("filename", 1, 4).alias("group_id")))
+    counts = parts["counts"].select(F.col("n_files").cast("int").alias("n_files"), F.col("undecodable").cast("int").alias("undecodable"))
+    return counts.join(parts["duplicate_content"].select(F.col("names").alias("copies")))  # a row each
 
 
 FAULTY = """faulty AS (SELECT CASE WHEN vec_id % 50 = 7 THEN 'dir/x' || vec_id WHEN vec_id % 40 = 3 THEN 'img_000000.jpg' ELSE filename END AS filename,
@@ -201,13 +256,14 @@ def q_manifest_violations(spark, sf_dir):
     return csv_violations(faulty(spark, sf_dir))
 
 
-@query(f"""WITH {PLAIN}, {FAULTY}, e AS (SELECT filename FROM plain WHERE vec_id % 9 <> 4)
+@query(f"""WITH {PLAIN}, {FAULTY}, e AS (SELECT CASE WHEN vec_id % 9 = 4 THEN 'lost_' || filename ELSE filename END AS filename FROM plain)
   SELECT 'duplicate' AS problem, filename FROM faulty GROUP BY filename HAVING count(*) > 1
   UNION ALL SELECT DISTINCT 'missing', filename FROM e WHERE filename NOT IN (SELECT filename FROM faulty)
   UNION ALL SELECT DISTINCT 'unexpected', filename FROM faulty WHERE filename NOT IN (SELECT filename FROM e)
   UNION ALL SELECT 'empty_group', filename FROM faulty WHERE group_id = '' UNION ALL SELECT 'bad_name', filename FROM faulty WHERE regexp_matches(filename, '[/\\\\]')""")
 def q_partition_check(spark, sf_dir):
-    expected = plain(spark, sf_dir).where("vec_id % 9 <> 4").select("filename")
+    lost = F.when(F.col("vec_id") % 9 == 4, F.concat(F.lit("lost_"), "filename")).otherwise(F.col("filename"))
+    expected = plain(spark, sf_dir).select(lost.alias("filename"))
     return partitions.violations(faulty(spark, sf_dir), expected)
 
 
@@ -229,11 +285,12 @@ def q_content_hash_dups(spark, sf_dir):
     return audit.repeated(files(spark, sf_dir), "content_hash")
 
 
-PHASH = f"{PLAIN}, hashed AS (SELECT filename, group_id, array_to_string(list_transform(range(2, 17), lambda i: CASE WHEN v[i] > v[i - 1] THEN '1' ELSE '0' END), '') AS phash FROM plain)"
+PHASH = f"{PLAIN}, hashed AS (SELECT filename, group_id, array_to_string(list_transform(range(2, 17), lambda i: CASE WHEN s[i] > s[i - 1] THEN '1' ELSE '0' END), '') AS phash FROM (SELECT *, list_transform(range(0, 16), lambda k: round(v[k * 4 + 1] + v[k * 4 + 2] + v[k * 4 + 3] + v[k * 4 + 4], 9)) AS s FROM plain))"
 
 
 def hashed(spark, sf_dir):
-    return plain(spark, sf_dir).withColumn("phash", vx.sign_hash(F.slice("descriptor", 1, 16)))
+    sums = F.expr("transform(sequence(0, 15), k -> round(descriptor[k * 4] + descriptor[k * 4 + 1] + descriptor[k * 4 + 2] + descriptor[k * 4 + 3], 9))")
+    return plain(spark, sf_dir).withColumn("phash", vx.sign_hash(sums))
 
 
 @query(f"WITH {PHASH} SELECT phash, list(filename ORDER BY filename) AS names, count(*) AS n FROM hashed GROUP BY phash HAVING count(*) > 1")
@@ -246,12 +303,13 @@ def q_cross_group(spark, sf_dir):
     return audit.cross_group(hashed(spark, sf_dir), "phash")
 
 
-@query("""SELECT 'missing' AS problem, 'doc_' || doc_id AS filename FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 2)
-  UNION ALL SELECT 'extra', 'doc_' || doc_id FROM documents WHERE doc_id % 7 <> 2 AND doc_id NOT IN (SELECT doc_id FROM labels)""")
+@query("""WITH f AS (SELECT CASE WHEN doc_id % 7 = 2 THEN 'moved_' ELSE 'doc_' END || doc_id AS filename FROM documents), m AS (SELECT 'doc_' || doc_id AS filename FROM labels)
+  SELECT 'missing' AS problem, filename FROM m WHERE filename NOT IN (SELECT filename FROM f) UNION ALL SELECT 'extra', filename FROM f WHERE filename NOT IN (SELECT filename FROM m)""")
 def q_missing_extra(spark, sf_dir):
-    """Every seventh file is taken to be lost."""
+    """Every seventh file is taken to have another name."""
     manifest = read(spark, sf_dir, "labels").select(F.concat(F.lit("doc_"), "doc_id").alias("filename"))
-    return audit.missing_and_extra(manifest, files(spark, sf_dir).where("doc_id % 7 <> 2").select("filename"))
+    name = F.concat(F.when(F.col("doc_id") % 7 == 2, "moved_").otherwise("doc_"), "doc_id")
+    return audit.missing_and_extra(manifest, files(spark, sf_dir).select(name.alias("filename")))
 
 
 @query("""SELECT sum((vec_id % 3 = 0)::INT)::BIGINT AS leaked, count(*) AS n, round(avg((vec_id % 3 = 0)::INT::DOUBLE), 6) AS fraction FROM embeddings""")
@@ -272,15 +330,16 @@ def q_dataset_fingerprint(spark, sf_dir):
     return spark.createDataFrame([(audit.dataset_fingerprint(files(spark, sf_dir), "0" * 64),)], "fingerprint string")
 
 
-AUDITS = f"""{FILES}, a AS (SELECT filename, content_hash, group_id FROM files WHERE doc_id % 3 <> 0),
+AUDITS = f"""{FILES}, a AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'old_' || filename ELSE filename END AS filename, content_hash, group_id FROM files),
 b AS (SELECT CASE WHEN doc_id % 8 = 5 THEN 'new_' || filename ELSE filename END AS filename, CASE WHEN doc_id % 11 = 4 THEN sha256(content_hash) ELSE content_hash END AS content_hash,
-  CASE WHEN doc_id % 5 = 1 THEN 'moved' ELSE group_id END AS group_id FROM files WHERE doc_id % 4 <> 0)"""
+  CASE WHEN doc_id % 5 = 1 THEN 'moved' ELSE group_id END AS group_id FROM files)"""
 
 
 def audits(spark, sf_dir):
     f = files(spark, sf_dir)
-    a = f.where("doc_id % 3 <> 0").select("filename", "content_hash", "group_id")
-    b = f.where("doc_id % 4 <> 0").select(
+    old = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("old_"), "filename")).otherwise(F.col("filename"))
+    a = f.select(old.alias("filename"), "content_hash", "group_id")
+    b = f.select(
         F.when(F.col("doc_id") % 8 == 5, F.concat(F.lit("new_"), "filename")).otherwise(F.col("filename")).alias("filename"),
         F.when(F.col("doc_id") % 11 == 4, F.sha2(F.col("content_hash").cast("binary"), 256)).otherwise(F.col("content_hash")).alias("content_hash"),
         F.when(F.col("doc_id") % 5 == 1, "moved").otherwise(F.col("group_id")).alias("group_id"),
@@ -308,12 +367,14 @@ def q_relations(spark, sf_dir):
 @query(f"""WITH {FILES}, k AS (SELECT DISTINCT content_hash FROM files WHERE doc_id % 3 = 0)
   SELECT (content_hash IN (SELECT content_hash FROM k)) AS hit, count(DISTINCT content_hash) AS contents, count(*) AS n FROM files GROUP BY 1""")
 def q_cache_hits(spark, sf_dir):
-    """Files whose content was seen in every third file already."""
+    """Files whose content was kept by a memo that had seen every third file."""
     f = files(spark, sf_dir)
-    seen = f.where("doc_id % 3 = 0").select("content_hash").distinct()
-    hit = f.join(seen, "content_hash", "left_semi").withColumn("hit", F.lit(True))
-    miss = f.join(seen, "content_hash", "left_anti").withColumn("hit", F.lit(False))
-    return hit.unionByName(miss).groupBy("hit").agg(F.count_distinct("content_hash").alias("contents"), F.count(F.lit(1)).alias("n"))
+    memo = Memo(spark, f"{shared_dir(spark)}/pairgraph/{spark.sparkContext.applicationId}/memo-{uuid.uuid4().hex}", ["content_hash"], "content_hash string, seen long")
+    for seen in (0, 1):  # what is put twice is read once
+        memo.put(f.where("doc_id % 3 = 0").select("content_hash", F.lit(seen).cast("long").alias("seen")).distinct(), "f" * 64)
+    hits, misses = memo.lookup(f.select("filename", "content_hash"), "f" * 64)
+    both = hits.where("seen = 1").withColumn("hit", F.lit(True)).drop("seen").unionByName(misses.withColumn("hit", F.lit(False)))
+    return both.groupBy("hit").agg(F.count_distinct("content_hash").alias("contents"), F.count(F.lit(1)).alias("n"))
 
 
 # --- candidates ------------------------------------------------------------------------------------------------
@@ -378,10 +439,10 @@ def q_singletons(spark, sf_dir):
 # --- vectors ---------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {PLAIN}, a AS (SELECT filename, list_transform(v[1:16], lambda x: abs(x)) AS a FROM plain)
+@query(f"""WITH {PLAIN}, a AS (SELECT filename, list_transform(v, lambda x: abs(x)) AS a FROM plain)
   SELECT filename, list_transform(a, lambda x: round(sqrt(x / greatest(list_sum(a), 1e-12)), 6)) AS weights FROM a""")
 def q_rootsift(spark, sf_dir):
-    a = F.transform(F.slice("descriptor", 1, 16), F.abs)
+    a = F.transform("descriptor", F.abs)
     return plain(spark, sf_dir).select("filename", F.transform(vx.root_weights(a), lambda x: F.round(x, 6)).alias("weights"))
 
 
@@ -394,20 +455,31 @@ def q_stretch(spark, sf_dir):
     return rows.select("l_orderkey", vx.stretch(v, 25, 75).alias("levels"))
 
 
-@query("""WITH h AS (SELECT o_orderpriority, (o_totalprice / 2500)::INT % 256 AS level FROM orders), c AS (SELECT o_orderpriority, level, count(*) AS n FROM h GROUP BY ALL)
-  SELECT o_orderpriority, level, n, sum(n) OVER (PARTITION BY o_orderpriority ORDER BY level)::BIGINT AS cdf FROM c""")
+@query("""WITH h AS (SELECT c_nationkey, (c_custkey * 37 % 256)::INT AS level, count(*) AS n FROM customer GROUP BY ALL),
+  c AS (SELECT c_nationkey, level, n, sum(n) OVER (PARTITION BY c_nationkey ORDER BY level) AS cdf, sum(n) OVER (PARTITION BY c_nationkey) AS total, first_value(n) OVER (PARTITION BY c_nationkey ORDER BY level) AS first FROM h)
+  SELECT c_nationkey, level, CASE WHEN total = first THEN level ELSE round_even((cdf - first) / (total - first)::DOUBLE * 255, 0)::INT END AS equalized FROM c""")
 def q_equalize(spark, sf_dir):
-    """Cumulative histograms, by which levels are equalized."""
-    level = (F.bround(F.col("o_totalprice") / 2500, 0).cast("int") % 256).alias("level")
-    h = read(spark, sf_dir, "orders").groupBy("o_orderpriority", level).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("o_orderpriority").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
-    return h.withColumn("cdf", F.sum("n").over(w))
+    """The kernel's equalization of each nation's levels."""
+    levels = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list((F.col("c_custkey") * 37 % 256).cast("int")).alias("levels"))
+
+    def run(batches):
+        for batch in batches:
+            keys, seen, out = [], [], []
+            for key, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                image = np.array([values], np.uint8)
+                for a, b in sorted(set(zip(image[0].tolist(), kernels.equalized(image)[0].tolist(), strict=True))):
+                    keys.append(key), seen.append(a), out.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(seen, pa.int32()), pa.array(out, pa.int32())], ["c_nationkey", "level", "equalized"])
 
+    kind = levels.schema["c_nationkey"].dataType.simpleString()
+    return levels.mapInArrow(run, f"c_nationkey {kind}, level int, equalized int")
 
-@query(f"""WITH {PLAIN}, a AS (SELECT filename, (degrees(atan2(v[2], v[1])) + 360) % 180 / 30 AS s FROM plain)
+
+@query(f"""WITH {PLAIN}, a AS (SELECT filename, (degrees(atan2(round(list_sum(v[33:64]), 9), round(list_sum(v[1:32]), 9))) + 360) % 180 / 30 AS s FROM plain)
   SELECT filename, list_transform(range(0, 6), lambda b: round(greatest(0.0, 1.0 - least(abs(s - b), 6 - abs(s - b))), 6)) AS weights FROM a""")
 def q_orientation_hist(spark, sf_dir):
-    angle = (F.degrees(F.atan2(F.col("descriptor")[1], F.col("descriptor")[0])) + 360) % 180 / 30
+    half = lambda at: F.round(vx.total(F.slice("descriptor", at, 32)), 9)
+    angle = (F.degrees(F.atan2(half(33), half(1))) + 360) % 180 / 30
     return plain(spark, sf_dir).select("filename", F.transform(vx.soft_bins(angle, 6), lambda x: F.round(x, 6)).alias("weights"))
 
 
@@ -590,7 +662,14 @@ def q_fold_order(spark, sf_dir):
     return sweep.hash_order(read(spark, sf_dir, "documents").select(F.col("source").alias("group_id")), "fold")
 
 
-@query()
+@query("""WITH RECURSIVE g AS MATERIALIZED (SELECT group_id, size, row_number() OVER (ORDER BY k) AS rn FROM (SELECT source AS group_id, count(*) AS size, sha256('fold:' || source) AS k FROM documents GROUP BY source)),
+  cap AS (SELECT greatest(1, count(*) // 3) AS c FROM documents),
+  s AS (SELECT 0::BIGINT AS rn, NULL::VARCHAR AS group_id, 0::BIGINT AS size, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS d, NULL::VARCHAR AS fold
+    UNION ALL SELECT rn, group_id, size, a + CASE WHEN fold = 'a' THEN size ELSE 0 END, b + CASE WHEN fold = 'b' THEN size ELSE 0 END, d + CASE WHEN fold = 'c' THEN size ELSE 0 END, fold
+    FROM (SELECT g.rn, g.group_id, g.size, a, b, d, CASE least(CASE WHEN a + g.size <= c THEN a END, CASE WHEN b + g.size <= c THEN b END, CASE WHEN d + g.size <= c THEN d END)
+      WHEN CASE WHEN a + g.size <= c THEN a END THEN 'a' WHEN CASE WHEN b + g.size <= c THEN b END THEN 'b' WHEN CASE WHEN d + g.size <= c THEN d END THEN 'c' END AS fold
+      FROM s JOIN g ON g.rn = s.rn + 1, cap))
+  SELECT group_id, size, fold FROM s WHERE rn > 0""")
 def q_folds(spark, sf_dir):
     groups = read(spark, sf_dir, "documents").select(F.col("source").alias("group_id"))
     return sweep.assign_folds(groups, "fold", capacity=max(1, groups.count() // 3))
@@ -651,18 +730,93 @@ def q_recent(spark, sf_dir):
     return registry.recent(registry.latest(run_events(spark, sf_dir)), 20)
 
 
-@query("SELECT EXISTS (SELECT 1 FROM events WHERE event_type = 'purchase') AS found, EXISTS (SELECT 1 FROM events WHERE event_type = 'no such type') AS lost")
+def small_registry(spark, sf_dir):
+    """Runs of the regions' names: one is left running, the others end."""
+    book = registry.RunRegistry(spark, f"{shared_dir(spark)}/pairgraph/{spark.sparkContext.applicationId}/registry-{uuid.uuid4().hex}")
+    for no, r in enumerate(read(spark, sf_dir, "region").orderBy("r_regionkey").limit(3).collect()):
+        book.start({
+            "run_id": r["r_name"], "started_at": f"2024-01-0{no + 1}", "git_commit": "c", "dirty_tree": False, "config_path": "p", "config_hash": "h",
+            "dataset_fingerprint": "f", "split_id": f"split-{no}", "seed": no,
+        })
+        if no:
+            book.finish(r["r_name"], ("passed", "failed")[no - 1], metrics={"score": no}, notes="n")
+    return book
+
+
+@query("""SELECT r_name AS run_id, ['running', 'passed', 'failed'][rn] AS status, 'split-' || (rn - 1) AS split_id, CASE WHEN rn = 1 THEN '{}' ELSE '{"score": ' || (rn - 1) || '}' END AS metrics
+  FROM (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS rn FROM region) WHERE rn <= 3""")
+def q_registry_runs(spark, sf_dir):
+    """Runs that were started and finished, folded from the events."""
+    return small_registry(spark, sf_dir).runs().select("run_id", "status", "split_id", "metrics")
+
+
+@query("SELECT true AS found, false AS lost")
 def q_exists(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    some = lambda v, name: e.where(F.col("event_type") == v).limit(1).agg((F.count(F.lit(1)) > 0).alias(name)).withColumn("one", F.lit(1))
-    return some("purchase", "found").join(some("no such type", "lost"), "one").drop("one")
+    book = small_registry(spark, sf_dir)
+    return spark.createDataFrame([(book.contains_split("split-1"), book.contains_split("split-9"))], "found boolean, lost boolean")
 
 
 @query("SELECT role, list(conv_id ORDER BY conv_id) AS names FROM (SELECT DISTINCT role, conv_id FROM conversations) GROUP BY role")
 def q_inversion(spark, sf_dir):
     """A map from name to value turned round."""
-    c = read(spark, sf_dir, "conversations").select("role", "conv_id").distinct()
-    return c.groupBy("role").agg(F.array_sort(F.collect_list("conv_id")).alias("names"))
+    return audit.inverted(read(spark, sf_dir, "conversations").select("role", "conv_id").distinct(), "role", "names", "conv_id")
+
+
+@query(f"WITH {PLAIN}, {GROUPS}, h AS (SELECT filename, min(filename) OVER (PARTITION BY group_id) AS head FROM pred) SELECT filename, (dense_rank() OVER (ORDER BY head) - 1)::VARCHAR AS group_id FROM h")
+def q_csv_round_trip(spark, sf_dir):
+    """Predictions written as CSV and read again: ids are numbers in canonical order, as text."""
+    folder = shared_dir(spark)
+    if not folder.startswith(("file:", "/")):
+        raise ValueError("predictions are one file that the driver writes; the shared folder must be mounted")
+    path = f"{folder.removeprefix('file://')}/pairgraph/{spark.sparkContext.applicationId}/csv-{uuid.uuid4().hex}/predictions.csv"
+    reference, predicted = two_partitions(spark, sf_dir)
+    return read_groups(spark, str(write_predictions(predicted, reference.select("filename"), path)))
+
+
+RULES = """d AS (SELECT * FROM (VALUES ('a1', 'a2', 'strong_positive', 0.9), ('a2', 'a3', 'strong_positive', 0.8), ('a1', 'a3', 'negative', 0.1),
+  ('b1', 'b2', 'strong_positive', 0.9), ('b2', 'b3', 'strong_positive', 0.8), ('b1', 'b3', 'unknown', 0.2),
+  ('c1', 'c2', 'strong_positive', 0.95), ('c3', 'c4', 'strong_positive', 0.94), ('c2', 'c3', 'strong_positive', 0.5),
+  ('d1', 'd2', 'strong_positive', 0.95), ('d3', 'd4', 'strong_positive', 0.94), ('d2', 'd3', 'strong_positive', 0.5), ('d1', 'd3', 'positive', 0.4), ('d2', 'd4', 'positive', 0.4),
+  ('e1', 'e2', 'positive', 0.9)) t("left", "right", state, score))"""
+
+
+@query("""SELECT * FROM (VALUES ('a1', 'a1'), ('a2', 'a1'), ('a3', 'a3'), ('b1', 'b1'), ('b2', 'b1'), ('b3', 'b1'), ('c1', 'c1'), ('c2', 'c1'), ('c3', 'c3'), ('c4', 'c3'),
+  ('d1', 'd1'), ('d2', 'd1'), ('d3', 'd1'), ('d4', 'd1'), ('e1', 'e1'), ('e2', 'e2')) t(filename, group_id)""")
+def q_grouping_rules(spark, sf_dir):
+    """A veto, a single image that joins by one strong edge, clusters with one and with three edges between them, and a pair
+    without a strong edge."""
+    d = spark.sql(f"WITH {RULES.replace(chr(34), chr(96))} SELECT * FROM d")
+    names = d.select(F.explode(F.array("left", "right")).alias("filename")).distinct()
+    return grouping.constrained_groups(names, d, GroupingConfig(min_independent_support_edges=2, representative_strong_support=False))
+
+
+ODD_PAIRS = "SELECT * FROM (VALUES ('a', 'b'), ('b', 'a'), ('c', 'c'), ('a', 'z')) t(\"left\", \"right\")"
+
+
+@query("SELECT * FROM (VALUES ('a', 'b', 'repeated_pair'), ('c', 'c', 'self_pair'), ('a', 'z', 'unknown_name')) t(\"left\", \"right\", problem)")
+def q_pair_problems(spark, sf_dir):
+    names = spark.createDataFrame([(n,) for n in "abc"], "filename string")
+    return candidates.check_pairs(spark.sql(ODD_PAIRS.replace('"', "`")), names)
+
+
+@query(f"""WITH {PAIRS}, h AS (SELECT "left" AS l, "right" AS r, sha256("left") AS a, sha256("right") AS b FROM pairs)
+  SELECT CASE WHEN (b, r) < (a, l) THEN r ELSE l END AS "left", CASE WHEN (b, r) < (a, l) THEN l ELSE r END AS "right", least(a, b) AS left_hash, greatest(a, b) AS right_hash FROM h""")
+def q_oriented(spark, sf_dir):
+    p = pairs_of(spark, sf_dir)
+    return candidates.orient(p.withColumns({"left_hash": tx.content_hash(F.col("left")), "right_hash": tx.content_hash(F.col("right"))}))
+
+
+@query(f"""WITH {RAW}, r AS (SELECT filename, CASE WHEN vec_id < 60 THEN 'm' WHEN vec_id % 2 = 1 THEN filename ELSE group_id END AS group_id FROM img),
+  x AS (SELECT d."left", d."right", state, round(score, 6) AS score, a.group_id = b.group_id AS same FROM a_dec d JOIN r a ON a.filename = "left" JOIN r b ON b.filename = "right"),
+  f AS (SELECT * FROM x WHERE state IN ('strong_positive', 'positive') AND NOT same ORDER BY state <> 'strong_positive', score DESC, 1, 2 LIMIT 50),
+  m AS (SELECT * FROM x WHERE state NOT IN ('strong_positive', 'positive') AND same ORDER BY state <> 'strong_positive', score DESC, 1, 2 LIMIT 50)
+  SELECT 'false_positive' AS kind, "left", "right", state, score FROM f UNION ALL SELECT 'missed', "left", "right", state, score FROM m""")
+def q_examples(spark, sf_dir):
+    d = decisions.classify(measured(spark, sf_dir), SMALL_STATES).withColumn("score", F.round("score", 6))
+    group = F.when(F.col("vec_id") < 60, "m").when(F.col("vec_id") % 2 == 1, F.col("filename")).otherwise(F.col("group_id"))
+    both = partitions.diagnostic_examples(d, images(spark, sf_dir).select("filename", group.alias("group_id")))
+    parts = [df.select(F.lit(kind).alias("kind"), "left", "right", "state", "score") for kind, df in zip(("false_positive", "missed"), both, strict=True)]
+    return parts[0].unionByName(parts[1])
 
 
 @query("""SELECT n_name, CASE WHEN length(s) > 12 THEN substr(s, 1, 9) || '...' ELSE s END AS label FROM (SELECT n_name, n_name || ' é ' || n_regionkey AS x, regexp_replace(n_name || ' é ' || n_regionkey, '[^\\x00-\\x7F]', '?', 'g') AS s FROM nation)""")
