@@ -436,24 +436,31 @@ def inverse(m: np.ndarray) -> np.ndarray:
     return np.column_stack([back, -back @ m[:, 2]])
 
 
+#: Pairs of matches that are tried at once.
+RANSAC_DRAWS = 64
+
+
 def robust_similarity(s: np.ndarray, t: np.ndarray, c: MatchConfig, seed: int) -> tuple[np.ndarray | None, np.ndarray]:
     """The similarity that most matches agree with, refitted on these, and which they are."""
-    rng = np.random.default_rng(seed)
-    best = np.zeros(len(s), bool)
-    rounds = c.ransac_max_iters
-    at = 0
+    rng, n = np.random.default_rng(seed), len(s)
+    p, q = s[:, 0] + 1j * s[:, 1], t[:, 0] + 1j * t[:, 1]  # a similarity is one product and one sum of complex numbers
+    best, most, rounds, at = np.zeros(n, bool), 0, c.ransac_max_iters, 0
     while at < rounds:
-        i, j = rng.choice(len(s), 2, replace=False)
-        at += 1
-        m = fit_similarity(s[[i, j]], t[[i, j]])
-        if m is None:
-            continue
-        inside = np.linalg.norm(apply(m, s) - t, axis=1) <= c.ransac_reproj_threshold
-        if inside.sum() > best.sum():
-            best = inside
-            share = best.mean()
-            miss = 1 - share**2
-            rounds = min(rounds, at if miss <= 0 else int(np.ceil(np.log(1 - c.ransac_confidence) / np.log(miss)))) if share else rounds
+        i, j = rng.integers(0, n, RANSAC_DRAWS), rng.integers(0, n - 1, RANSAC_DRAWS)
+        j += j >= i
+        step = p[j] - p[i]
+        fits = np.abs(step) ** 2 >= 2e-9
+        turn = (q[j] - q[i]) / np.where(fits, step, 1)
+        fits &= np.abs(turn) ** 2 >= 1e-12
+        inside = (np.abs(turn[:, None] * p[None, :] + (q[i] - turn * p[i])[:, None] - q[None, :]) <= c.ransac_reproj_threshold) & fits[:, None]
+        for k, size in enumerate(inside.sum(axis=1)):
+            at += 1
+            if size > most:
+                best, most = inside[k], size
+                miss = 1 - (most / n) ** 2
+                rounds = min(rounds, at if miss <= 0 else int(np.ceil(np.log(1 - c.ransac_confidence) / np.log(miss))))
+            if at >= rounds:
+                break
     if best.sum() < 2:
         return None, best
     m = None
