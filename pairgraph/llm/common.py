@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairgraph.plans.store import small_batches
+
+__all__ = ["WORD", "let", "running", "small_batches", "table", "text_of", "unit_interval", "words_of"]
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,17 +59,3 @@ def unit_interval(key: Column, seed: str) -> Column:
     """A number in (0, 1) that depends on the key and the seed only: 52 bits of an MD5 digest."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
-
-
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for what runs inside, as rows may be long: memory is a batch's size."""
-    was = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(rows, int(was)) if int(was) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, was)
