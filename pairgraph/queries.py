@@ -450,9 +450,10 @@ def q_rootsift(spark, sf_dir):
   q AS (SELECT *, list_aggregate(v, 'quantile_cont', 0.25) AS lo, list_aggregate(v, 'quantile_cont', 0.75) AS hi FROM b)
   SELECT l_orderkey, CASE WHEN hi - lo <= 1e-12 THEN v ELSE list_transform(v, lambda x: round_even(least(1.0, greatest(0.0, (x - lo) / (hi - lo))) * 255, 0)) END AS levels FROM q""")
 def q_stretch(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_extendedprice"))).alias("r"))
+    keys = [k for c in ("l_linenumber", "l_extendedprice") for k in (F.isnull(c).alias(f"no_{c}"), F.col(c))]  # nulls last
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*keys))).alias("r"))
     v = F.transform("r", lambda x: x["l_extendedprice"])
-    return rows.select("l_orderkey", vx.stretch(v, 25, 75).alias("levels"))
+    return rows.select("l_orderkey", vx.stretch(v, 25, 75, weighted=True).alias("levels"))
 
 
 @query("""WITH h AS (SELECT c_nationkey, (c_custkey * 37 % 256)::INT AS level, count(*) AS n FROM customer GROUP BY ALL),

@@ -1,10 +1,13 @@
 """The engine's operators on worked values and against plain models."""
 
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from pairgraph import queries
+from pairgraph.functions import vectors as vx
 from pairgraph.operators import audit, candidates, decisions, evidence, grouping, partitions
 from pairgraph.plans import config, registry, sweep
 from pairgraph.sources import sinks, tables
@@ -362,3 +365,29 @@ def test_tables_in_the_shared_folder(spark):
     assert kept.count() == 5 and store.shared_dir(spark) in kept.inputFiles()[0]
     with pytest.raises(Exception, match="FILE|exist|PATH"):
         gone.count()
+
+
+def test_stretch_rounds_as_its_sql(spark, tmp_path):
+    """Percentiles have the bits of quantile_cont, so a share on half a level goes the same way; nulls are no values and come last."""
+    want = {
+        1: ([35209.1, 17035.67, 40176.53, 95862.88], [49, 0, 104, 255]),
+        2: ([994.35, 1417.65, 1060.65, 1151.43, 1121.85, 936.38], [0, 255, 95, 255, 213, 0]),
+        3: ([1797.6, 1619.1, 1560.45, 1657.35], [255, 43, 0, 153]),
+        4: ([24789.41, 43250.03, None, 57230.42, 87214.56, None, 49859.72, None, 91989.17], [0, 0, 0, 90, 255, 0, 36, 0, 255]),
+        5: ([None, None], [0, 0]),
+        6: ([7.5, 7.5, None], [7.5, 7.5, None]),
+    }
+    rows = [(k, i, p) for k, (prices, _) in want.items() for i, p in enumerate(prices)]
+    rows += [(7, None, 1.0), (7, 1, None), (7, 1, 3.0), (7, 2, 2.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["l_orderkey"]: r["levels"] for r in queries.queries()["q_stretch"](spark, str(tmp_path)).collect()}
+    assert got == {k: levels for k, (_, levels) in want.items()} | {7: [255.0, 0.0, 128.0, 0.0]}
+
+
+def test_fused_is_rounded_once(spark):
+    rng = random.Random(3)
+    rows = [tuple(rng.choice((-1, 1)) * 10 ** rng.uniform(-9, 9) for _ in "abc") for _ in range(2000)] + [(float("inf"), 0.75, 1.0)]
+    frame = spark.createDataFrame(rows, "a double, b double, c double")
+    got = frame.select("a", "b", "c", vx.fused(F.col("a"), F.col("b"), F.col("c")).alias("r")).collect()
+    assert all(r["r"] == (float(Fraction(r["a"]) * Fraction(r["b"]) + Fraction(r["c"])) if r["a"] != float("inf") else r["a"]) for r in got)
+    assert any(r["a"] * r["b"] + r["c"] != r["r"] for r in got)
